@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minespark.llm import langid
+from minespark.llm import knn, langid
 from minespark.tables import load
 
 
@@ -23,5 +23,44 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.segments_of(load(spark, sf_dir, "documents"), "doc_id", "text", p10_model(spark, sf_dir))
 
 
-QUERIES = {"p10_found": p10_found, "p10_segments": p10_segments}
-SQL: dict[str, str] = {}
+# -- nearest vectors -------------------------------------------------------
+
+KNN_SCALED = {"est_age_in_days": 3650.0, "clm_pmt_amt": 10000.0, "claim_count": 2.0}
+KNN_KINDS = ("bene_race_cd", "bene_sex_ident_cd", "sp_alzhdmta", "sp_chf", "sp_chrnkidn", "sp_cncr", "sp_copd", "sp_osteoprs", "sp_ra_oa", "sp_strketia")
+
+
+def knn_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, v): scaled numbers, then sqrt(1/2) at the place of each kind's value, so two differing values are 1 apart in squared distance.
+
+    One row per vec_id (of rows that differ the first by their features); rows with a NULL feature are left out.
+    """
+    raw = load(spark, sf_dir, "bene_knn").select("vec_id", *KNN_SCALED, *KNN_KINDS).dropna()
+    rows = raw.groupBy("vec_id").agg(F.min(F.struct(*KNN_SCALED, *KNN_KINDS)).alias("x")).select("vec_id", "x.*")
+    levels = rows.agg(*[F.collect_set(F.col(c).cast("string")).alias(c) for c in KNN_KINDS]).first()
+    half = 0.5**0.5
+    dims = [(F.col(c) / F.lit(s)).cast("double") for c, s in KNN_SCALED.items()]
+    for c in KNN_KINDS:
+        values = sorted(levels[c])
+        if len(values) > 64:
+            raise ValueError(f"{c} has {len(values)} values: not a kind")
+        dims += [F.when(F.col(c).cast("string") == v, F.lit(half)).otherwise(F.lit(0.0)) for v in values] if len(values) != 2 else [(F.col(c).cast("string") == values[1]).cast("double")]
+    return rows.select("vec_id", F.array(*dims).alias("v"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = knn.knn(knn_vectors(spark, sf_dir), "vec_id", "v", k=5)
+    pairs = near.select("id", F.explode("neighbours.id").alias("other"))
+    return pairs.select(F.least("id", "other").alias("vec_id_a"), F.greatest("id", "other").alias("vec_id_b")).distinct()
+
+
+_DIFF = " + ".join(f"(a.{c} <> b.{c})::INT" for c in KNN_KINDS)
+P6_SQL = f"""WITH v AS (SELECT DISTINCT vec_id, {", ".join(KNN_SCALED)}, {", ".join(KNN_KINDS)} FROM bene_knn
+  WHERE {" AND ".join(f"{c} IS NOT NULL" for c in (*KNN_SCALED, *KNN_KINDS))}),
+d AS (SELECT a.vec_id AS x, b.vec_id AS y,
+  round({" + ".join(f"power((a.{c} - b.{c}) / {s}, 2)" for c, s in KNN_SCALED.items())} + {_DIFF}, 12) AS d2
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+n AS (SELECT x, y FROM d QUALIFY row_number() OVER (PARTITION BY x ORDER BY d2, y) <= 5)
+SELECT DISTINCT least(x, y) AS vec_id_a, greatest(x, y) AS vec_id_b FROM n"""
+
+QUERIES = {"p6_found": p6_found, "p10_found": p10_found, "p10_segments": p10_segments}
+SQL: dict[str, str] = {"p6_found": P6_SQL}
