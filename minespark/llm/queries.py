@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minespark.llm import knn, langid, mcl
+from minespark.functions.keys import name_key
+from minespark.llm import knn, langid, mcl, mixing, packing, tokens
+from minespark.scratch import materialize
 from minespark.tables import load
 
 
@@ -84,5 +86,51 @@ c(u, root) AS (SELECT id, id FROM p UNION SELECT e.v, c.root FROM c JOIN e ON c.
 m AS (SELECT u AS id, min(root) AS root FROM c GROUP BY u)
 SELECT root AS econ_id_a, id AS econ_id_b FROM m WHERE id <> root AND root IN (SELECT root FROM m GROUP BY root HAVING count(*) >= 3)"""
 
-QUERIES = {"p7_found": p7_found, "p7_clusters": p7_clusters, "p6_found": p6_found, "p10_found": p10_found, "p10_segments": p10_segments}
+# -- containers and mixtures -----------------------------------------------
+
+
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source and tokens of every document, written once."""
+    return materialize(tokens.token_counts(load(spark, sf_dir, "documents"), "text", ["doc_id", "source"]))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(document_tokens(spark, sf_dir), load(spark, sf_dir, "container_kind"), "doc_id", "tokens", "kind_id", "capacity_tokens")
+    return packed.withColumnRenamed("item_id", "doc_id")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, sf_dir), load(spark, sf_dir, "container_kind"), "kind_id", "capacity_tokens")
+
+
+def _mix(spark: SparkSession, sf_dir: str):
+    docs = document_tokens(spark, sf_dir).withColumn("source", name_key(F.col("source")))
+    items = materialize(mixing.hashed(docs, "doc_id", "source", "tokens"))
+    t = load(spark, sf_dir, "mix_target").select(name_key(F.col("source")).alias("s"), "target_share", "max_repeat").dropna().limit(10_001).collect()
+    if len(t) > 10_000:
+        raise ValueError("more than 10,000 target sources")
+    return items, mixing.plan_mix(items, {r["s"]: (r["target_share"], r["max_repeat"]) for r in t})
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, plans = _mix(spark, sf_dir)
+    return mixing.mix(items, plans).withColumnRenamed("item_id", "doc_id")
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, plans = _mix(spark, sf_dir)
+    return mixing.shares(mixing.mix(items, plans), plans)
+
+
+QUERIES = {
+    "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_clusters": p7_clusters,
+    "p8_containers": p8_containers,
+    "p8_report": p8_report,
+    "p9_mixture": p9_mixture,
+    "p9_report": p9_report,
+    "p10_found": p10_found,
+    "p10_segments": p10_segments,
+}
 SQL: dict[str, str] = {"p6_found": P6_SQL, "p7_found": P7_SQL}
