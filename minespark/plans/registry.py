@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from minespark.plans import claims, trees
+from minespark.plans import claims, relational, trees
 
-_MODULES = [claims, trees]
+_MODULES = [claims, trees, relational]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
