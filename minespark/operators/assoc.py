@@ -62,7 +62,10 @@ def frequent_itemsets(baskets: DataFrame, min_support: float, engine: str = "fpg
         bad = sets.select("_s", F.explode("items").alias("item")).join(ones, "item", "left_anti").select("_s").distinct()
         sets = sets.join(bad, "_s", "left_anti").select("items", "n")
     else:
-        sets, level, k = None, ones.select(F.array("item").alias("items")), 1
+        # occurrences (tid, items) of the frequent sets of a level are extended by a later frequent item of the same basket
+        rows = materialize(b.select("tid", F.explode("items").alias("item")).join(ones.select("item"), "item", "left_semi"))
+        sets, occ, k = None, rows.select("tid", F.array("item").alias("items")), 1
+        level = ones.select(F.array("item").alias("items"))
         while max_len is None or k < max_len:
             a = level.select(F.slice("items", 1, k - 1).alias("head"), F.element_at("items", -1).alias("x"))
             cand = a.join(a.withColumnRenamed("x", "y"), "head").filter("x < y").select(F.concat("head", F.array("x", "y")).alias("items"))
@@ -70,11 +73,14 @@ def frequent_itemsets(baskets: DataFrame, min_support: float, engine: str = "fpg
                 subs = cand.select("items", F.explode(F.transform(F.sequence(F.lit(1), F.lit(k + 1)), lambda i: F.filter("items", lambda x, j: j + 1 != i))).alias("sub"))
                 bad = subs.join(level.select(F.col("items").alias("sub")), "sub", "left_anti").select("items").distinct()
                 cand = cand.join(bad, "items", "left_anti")
-            found = materialize(support_of(b, cand).filter(F.col("n") >= larger))
+            longer = occ.join(rows, "tid").filter(F.col("item") > F.element_at("items", -1)).select("tid", F.concat("items", F.array("item")).alias("items"))
+            longer = materialize(longer.join(cand, "items", "left_semi"))
+            found = materialize(longer.groupBy("items").agg(F.count("*").alias("n")).filter(F.col("n") >= larger))
             if not found.take(1):
                 break
             sets = found if sets is None else sets.unionByName(found)
             level, k = found.select("items"), k + 1
+            occ = longer.join(level, "items", "left_semi")
         sets = ones.select(F.array("item").alias("items"), "n").limit(0) if sets is None else sets
     return ones.select(F.array("item").alias("items"), "n").unionByName(sets), total
 

@@ -49,11 +49,11 @@ def versions(snap: DataFrame, key: str, period: str, value: str, carry_nulls: bo
     version.  Rows with a NULL key or period are left out.  Of several rows of a
     key and period only one may be given (see ``latest_rows``).
     """
-    snap = snap.select(key, period, value).filter(F.col(key).isNotNull() & F.col(period).isNotNull())
+    snap = snap.select(F.col(key).alias("_k"), F.col(period).alias("_p"), F.col(value).alias("_v")).filter(F.col("_k").isNotNull() & F.col("_p").isNotNull())
     if carry_nulls:
-        snap = fill_within_runs(snap, key, period, value)
-    ev = change_events(snap, key, period, value)
-    w = Window.partitionBy(key).orderBy(period)
-    out = ev.select(key, value, "kind", F.col(period).cast("bigint").alias("valid_from"), (F.lead(period).over(w) - 1).cast("bigint").alias("valid_to"))
-    out = out.filter(F.col("kind") != "deleted").drop("kind")
-    return out.withColumn("n_versions", F.count("*").over(Window.partitionBy(key)))
+        snap = fill_within_runs(snap, "_k", "_p", "_v")
+    ev = change_events(snap, "_k", "_p", "_v")
+    w = Window.partitionBy("_k").orderBy("_p")
+    out = ev.select("_k", "_v", "kind", F.col("_p").cast("bigint").alias("valid_from"), (F.lead("_p").over(w) - 1).cast("bigint").alias("valid_to"))
+    out = out.filter(F.col("kind") != "deleted")
+    return out.select(F.col("_k").alias(key), F.col("_v").alias(value), "valid_from", "valid_to", F.count("*").over(Window.partitionBy("_k")).alias("n_versions"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from minespark.scratch import materialize
+
 
 def is_numeric(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, T.NumericType)
@@ -96,15 +98,11 @@ def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
 
 def with_rid(df: DataFrame, order: Sequence[str], name: str = "_rid") -> DataFrame:
     """Row numbers from 0 in a total order, by range partitions: counts per partition are added up, no single-task window."""
-    from pyspark.sql import functions as f
-
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", f.spark_partition_id())
-    from minespark.scratch import materialize
-
-    parts = materialize(parts.withColumn("_m", f.monotonically_increasing_id()))
-    first = parts.groupBy("_p").agg(f.count("*").alias("_n"), f.min("_m").alias("_m0"))
-    before = first.withColumn("_before", f.coalesce(f.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), f.lit(0)))  # one row a partition
-    return parts.join(f.broadcast(before.select("_p", "_m0", "_before")), "_p").select((f.col("_before") + f.col("_m") - f.col("_m0")).alias(name), *df.columns)
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    parts = materialize(parts.withColumn("_mono", F.monotonically_increasing_id()))
+    first = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_mono").alias("_mono0"))
+    before = first.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
+    return parts.join(F.broadcast(before.select("_part", "_mono0", "_before")), "_part").select((F.col("_before") + F.col("_mono") - F.col("_mono0")).alias(name), *df.columns)
 
 
 def bootstrap(df: DataFrame, rid: str, n_rows: int, draws: int, seed: int = 0, copies: int = 1) -> DataFrame:
@@ -121,8 +119,8 @@ def sample_columns(cols: Sequence[str], k: int, seed: int = 0) -> list[str]:
 def k_folds(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """``fold`` from 1 to k; sizes differ by at most one.  Numbered in hash order by range partitions."""
     n = df.count()
-    rows = with_rid(df.withColumn("_s", F.xxhash64(F.lit(seed), key)), ["_s", key])
+    rows = with_rid(df.withColumn("_s", F.xxhash64(F.lit(seed), key)), ["_s", key], "_no")
     big, size = n % k, n // k
     cut = big * (size + 1)
-    fold = F.when(F.col("_rid") < cut, F.floor(F.col("_rid") / (size + 1))).otherwise(big + F.floor((F.col("_rid") - cut) / max(size, 1)))
+    fold = F.when(F.col("_no") < cut, F.floor(F.col("_no") / (size + 1))).otherwise(big + F.floor((F.col("_no") - cut) / max(size, 1)))
     return rows.select(*df.columns, (fold + 1).cast("int").alias("fold"))

@@ -66,28 +66,29 @@ def snapshot_diff(snap: DataFrame, key: str, period: str, values: Sequence[str],
     # each value is hashed with its NULL flag, as xxhash64 passes over NULLs
     parts = [x for v in values for x in (F.col(v).isNull(), F.col(v))]
     rows = rows.select(
-        F.col(key),
-        F.col(period).cast("bigint").alias(period),
+        F.col(key).alias("_k"),
+        F.col(period).cast("bigint").alias("_p"),
         F.shiftrightunsigned(F.xxhash64(key, F.lit(7)), 64 - leaf_bits).alias("_leaf"),
         F.xxhash64(F.col(key), *parts).alias("_h1"),
         F.xxhash64(F.lit(11), *parts, F.col(key)).alias("_h2"),
     )
     rows = materialize(rows)
-    ends = rows.agg(F.min(period), F.max(period)).first()
+    ends = rows.agg(F.min("_p"), F.max("_p")).first()
     if ends[0] is None:
-        return rows.select(key, period, F.lit("").alias("change_kind")).limit(0)
-    leaves = materialize(leaf_digests(rows, period))
-    diff = differing_leaves(leaves, period, leaf_bits, fan_bits)
-    diff = materialize(diff.filter((F.col(period) > ends[0]) & (F.col(period) <= ends[1])).select(period, F.col("leaf").alias("_leaf")))
-    cur = rows.join(diff, [period, "_leaf"], "left_semi").select(key, period, "_h1", "_h2")
+        return rows.select(F.col("_k").alias(key), F.col("_p").alias(period), F.lit("").alias("change_kind")).limit(0)
+    leaves = materialize(leaf_digests(rows, "_p"))
+    diff = differing_leaves(leaves, "_p", leaf_bits, fan_bits)
+    diff = materialize(diff.filter((F.col("_p") > ends[0]) & (F.col("_p") <= ends[1])).select("_p", F.col("leaf").alias("_leaf")))
+    cur = rows.join(diff, ["_p", "_leaf"], "left_semi").select("_k", "_p", "_h1", "_h2")
     prev = (
-        rows.withColumn(period, F.col(period) + 1)
-        .join(diff, [period, "_leaf"], "left_semi")
-        .select(key, period, F.col("_h1").alias("_p1"), F.col("_h2").alias("_p2"))
+        rows.withColumn("_p", F.col("_p") + 1)
+        .join(diff, ["_p", "_leaf"], "left_semi")
+        .select("_k", "_p", F.col("_h1").alias("_p1"), F.col("_h2").alias("_p2"))
     )
     kind = (
         F.when(F.col("_p1").isNull(), "added")
         .when(F.col("_h1").isNull(), "removed")
         .when((F.col("_h1") != F.col("_p1")) | (F.col("_h2") != F.col("_p2")), "changed")
     )
-    return cur.join(prev, [key, period], "full_outer").select(key, period, kind.alias("change_kind")).filter(F.col("change_kind").isNotNull())
+    out = cur.join(prev, ["_k", "_p"], "full_outer").select("_k", "_p", kind.alias("change_kind")).filter(F.col("change_kind").isNotNull())
+    return out.select(F.col("_k").alias(key), F.col("_p").alias(period), "change_kind")

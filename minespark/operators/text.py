@@ -143,4 +143,4 @@ def dense_codec(m: Column) -> Column:
     """The inverse of :func:`sparse_codec`."""
     n = F.array_max(F.flatten(F.map_values(m)))
     entries = F.map_entries(m)
-    return F.transform(F.sequence(F.lit(0), n), lambda i: F.coalesce(F.element_at(F.transform(F.filter(entries, lambda e: (e["key"] != 0) & F.array_contains(e["value"], i)), lambda e: e["key"]), 1), F.lit(0)))
+    return F.transform(F.sequence(F.lit(0), n), lambda i: F.coalesce(F.get(F.transform(F.filter(entries, lambda e: (e["key"] != 0) & F.array_contains(e["value"], i)), lambda e: e["key"]), F.lit(0)), F.lit(0)))

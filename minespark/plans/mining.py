@@ -54,12 +54,6 @@ def frequent_itemsets(spark, d) -> DataFrame:
     return sets.select(F.array_join("items", ",").alias("items"), "n")
 
 
-@query(SQL["frequent_itemsets"])
-def frequent_itemsets_levelwise(spark, d) -> DataFrame:
-    sets, _ = assoc.frequent_itemsets(brand_baskets(spark, d), MIN_SUPPORT, engine="levelwise", max_len=3)
-    return sets.select(F.array_join("items", ",").alias("items"), "n")
-
-
 @query(f"WITH {_B} SELECT array_to_string(items, ',') AS items, c AS n FROM sets a WHERE NOT EXISTS (SELECT 1 FROM sets b WHERE len(b.items) = len(a.items) + 1 AND list_has_all(b.items, a.items))")
 def maximal_itemsets(spark, d) -> DataFrame:
     sets, _ = assoc.frequent_itemsets(brand_baskets(spark, d), MIN_SUPPORT, max_len=3)
