@@ -239,7 +239,8 @@ def measure_leaves(placed: DataFrame, tree: Tree, bin_rows: int = BIN_ROWS, bloc
     totals.append(rows)
     if len(totals) > 1 and totals[-1] < bin_rows:  # no small last bin
         bins[bins == no] = no - 1
-        totals[-2] += totals.pop()
+        last = totals.pop()
+        totals[-1] += last
     tree.bins, tree.blocks = bins, np.maximum(1, -(-np.array(totals) // block_rows))
     return tree
 
@@ -260,7 +261,7 @@ def knn(vectors: DataFrame, vid: str, vec: str, k: int = 5, recall: float = 1.0,
         return spark.createDataFrame([], "id bigint, neighbours array<struct<d2:double,id:bigint>>")
     tree = build_tree(vecs, n)
     placed = put_into_leaves(vecs, tree)
-    tree = measure_leaves(placed, tree)
+    tree = measure_leaves(placed, tree, BIN_ROWS, BLOCK_ROWS)
     shared = spark.sparkContext.broadcast(tree)
 
     def add_bin(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

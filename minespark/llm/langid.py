@@ -197,8 +197,12 @@ def fit(texts: Sequence[str], labels: Sequence[str], min_count: int = 2, ratio:
     size = np.diff(np.append(starts, len(h)))
     model = _learn(h, np.repeat(lab[doc], size) if len(starts) else np.zeros(0, dtype=np.int64), min_count, ratio)
     for _ in range(2):  # learn again from what the sentences themselves turned out to be
-        _, _, best, lead, known = model.decide(texts)
-        own = np.where((lead > 0.3) & (known > 0.3), best, -1)
+        _, words, best, lead, known = model.decide(texts)
+        sure = (lead > 0.3) & (known > 0.3)
+        votes = np.zeros((len(texts), len(LANGUAGES)))
+        np.add.at(votes, (doc[sure], best[sure]), words[sure])
+        main = np.where(votes.max(axis=1) > 0, votes.argmax(axis=1), lab)  # what an undecided sentence counts as
+        own = np.where(sure, best, main[doc])
         model = _learn(h, np.repeat(own, size), min_count, ratio) if len(starts) else model
     return model
 
@@ -285,9 +289,9 @@ def segments_of(docs: DataFrame, doc_id: str, text: str, model: Model, min_words
                 g = f.groupby(new.cumsum()).agg(doc=("doc", "first"), l=("l", "first"), first_sentence=("i", "first"), last_sentence=("i", "last"), n_words=("w", "sum"), c=("c", "sum"))
                 yield pd.DataFrame(
                     {
-                        doc_id: [ids[i] for i in g["doc"]],
+                        doc_id: pd.Series([ids[i] for i in g["doc"]], index=g.index, dtype=object),  # of this type also where there are no rows
                         "segment": g.groupby("doc").cumcount().astype("int64"),
-                        "lang_code": [m.languages[i] for i in g["l"]],
+                        "lang_code": pd.Series([m.languages[i] for i in g["l"]], index=g.index, dtype=object),
                         "first_sentence": g["first_sentence"].astype("int64"),
                         "last_sentence": g["last_sentence"].astype("int64"),
                         "n_words": g["n_words"].astype("int64"),
