@@ -42,7 +42,7 @@ def nearest(queries: DataFrame, train: DataFrame, key: str, vector: str, k: int,
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"query": [], "neighbour": [], "dist": [], "payload": []})
+            return pd.DataFrame(columns=["query", "neighbour", "dist", "payload"], dtype=object)
         x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
         qi, ti = a["id"].to_numpy(), b["id"].to_numpy()
         out = []
