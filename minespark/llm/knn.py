@@ -61,6 +61,7 @@ class Tree:
     high: np.ndarray | None = None
     bins: np.ndarray | None = None
     blocks: np.ndarray | None = None
+    flat: tuple | None = None
 
     @property
     def leaves(self) -> int:
@@ -87,19 +88,21 @@ class Tree:
 
         Inner nodes are pruned by the boxes around their leaves.
         """
-        lo, hi, kids, leaf = self._node_boxes()
-        qi, ni, d = np.arange(len(q)), np.zeros(len(q), dtype=np.int64), np.zeros(len(q))
+        lo, hi, first, count, kids, leaf = self._node_boxes()
+        qi, ni = np.arange(len(q)), np.zeros(len(q), dtype=np.int64)
         found = []
         while len(qi):
-            gap = np.maximum(np.maximum(lo[ni] - q[qi], q[qi] - hi[ni]), 0)
+            x = q[qi]
+            gap = np.maximum(np.maximum(lo[ni] - x, x - hi[ni]), 0)
             d = np.einsum("ij,ij->i", gap, gap)
             ok = d <= limit[qi]
             qi, ni, d = qi[ok], ni[ok], d[ok]
             at = leaf[ni] >= 0
             found.append((qi[at], self.bins[leaf[ni[at]]], d[at]))
             qi, ni = qi[~at], ni[~at]
-            reps = [len(kids[n]) for n in ni]
-            qi, ni = np.repeat(qi, reps), np.concatenate([kids[n] for n in ni]) if len(ni) else ni
+            n = count[ni]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            qi, ni = np.repeat(qi, n), kids[np.repeat(first[ni], n) + step]
         a, b, c = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((c, b, a))
         a, b, c = a[order], b[order], c[order]
@@ -108,16 +111,20 @@ class Tree:
         return a[first], b[first], c[first]
 
     def _node_boxes(self):
-        n = len(self.leaf_no)
-        dim = self.low.shape[1]
-        lo, hi = np.full((n, dim), np.inf), np.full((n, dim), -np.inf)
-        kids = [np.array(k, dtype=np.int64) for k in self.children]
-        for i in range(n - 1, -1, -1):  # children have greater numbers than their parent
-            if self.leaf_no[i] >= 0:
-                lo[i], hi[i] = self.low[self.leaf_no[i]], self.high[self.leaf_no[i]]
-            else:
-                lo[i], hi[i] = lo[kids[i]].min(0), hi[kids[i]].max(0)
-        return lo, hi, kids, np.array(self.leaf_no)
+        """Boxes of all nodes, and their children as (first, count) into one list."""
+        if self.flat is None:
+            n, dim = len(self.leaf_no), self.low.shape[1]
+            lo, hi = np.full((n, dim), np.inf), np.full((n, dim), -np.inf)
+            for i in range(n - 1, -1, -1):  # children have greater numbers than their parent
+                if self.leaf_no[i] >= 0:
+                    lo[i], hi[i] = self.low[self.leaf_no[i]], self.high[self.leaf_no[i]]
+                else:
+                    k = self.children[i]
+                    lo[i], hi[i] = lo[k].min(0), hi[k].max(0)
+            count = np.array([len(k) for k in self.children])
+            kids = np.array([c for k in self.children for c in k], dtype=np.int64)
+            self.flat = lo, hi, np.cumsum(count) - count, count, kids, np.array(self.leaf_no)
+        return self.flat
 
 
 def fit_tree(x: np.ndarray, leaf_rows: int, branch: int = 8, seed: int = 0) -> Tree:
@@ -218,16 +225,14 @@ def measure_leaves(placed: DataFrame, tree: Tree, bin_rows: int = BIN_ROWS, bloc
                 acc[j] = (np.minimum(lo, y.min(0)), np.maximum(hi, y.max(0)), n + len(y))
         yield pd.DataFrame([(j, n, lo, hi) for j, (lo, hi, n) in acc.items()], columns=["leaf", "n", "lo", "hi"])
 
-    def merge(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"leaf": [b["leaf"].iloc[0]], "n": [b["n"].sum()], "lo": [_matrix(b["lo"]).min(0)], "hi": [_matrix(b["hi"]).max(0)]})
-
     schema = "leaf bigint, n bigint, lo array<double>, hi array<double>"
-    got = placed.select("leaf", "v").mapInPandas(part, schema).groupBy("leaf").applyInPandas(merge, schema).toPandas()  # one row a leaf
-    dim = len(got["lo"].iloc[0])
+    parts = placed.select("leaf", "v").mapInPandas(part, schema).select("leaf", "n", F.posexplode(F.arrays_zip("lo", "hi")).alias("i", "x"))
+    got = parts.groupBy("leaf", "i").agg(F.sum("n").alias("n"), F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi")).toPandas()  # one row a leaf and dimension
+    dim = int(got["i"].max()) + 1
     tree.low, tree.high = np.full((tree.leaves, dim), np.inf), np.full((tree.leaves, dim), -np.inf)
     size = np.zeros(tree.leaves, dtype=np.int64)
-    at = got["leaf"].to_numpy()
-    tree.low[at], tree.high[at], size[at] = _matrix(got["lo"]), _matrix(got["hi"]), got["n"].to_numpy()
+    leaf, i = got["leaf"].to_numpy(), got["i"].to_numpy()
+    tree.low[leaf, i], tree.high[leaf, i], size[leaf] = got["lo"].to_numpy(), got["hi"].to_numpy(), got["n"].to_numpy()
     bins, rows, no = np.zeros(tree.leaves, dtype=np.int64), 0, 0
     totals: list[int] = []
     for leaf in range(tree.leaves):  # leaves are numbered in depth-first order
@@ -309,7 +314,8 @@ def knn(vectors: DataFrame, vid: str, vec: str, k: int = 5, recall: float = 1.0,
                 q, g, blk = q[other], g[other], blk[other]
                 yield pd.DataFrame({"bin": g, "block": blk, "rep": s["rep"].to_numpy()[q], "tau": s["tau"].to_numpy()[q], "v": s["v"].to_numpy()[q]})
 
-    routed = materialize(first.select("bin", "block", "rep", "v", "tau").mapInPandas(route, "bin bigint, block bigint, rep bigint, tau double, v array<double>"))
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # routing is much work on few bytes
+    routed = materialize(first.select("bin", "block", "rep", "v", "tau").repartition(spread, "rep").mapInPandas(route, "bin bigint, block bigint, rep bigint, tau double, v array<double>"))
     per = routed.groupBy("bin", "block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("bigint").alias("parts"))  # one row a bin and block
     queries = routed.join(per, ["bin", "block"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).drop("parts")
     points = data.join(per, ["bin", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
