@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from minespark.operators.rows import heavy_keys, skew_join
+from minespark.operators.rows import skew_join
+from minespark.scratch import materialize
 
 #: A filter has at most 2^26 bits, so its broadcast is at most 8 MiB; beyond about 7 million keys it only lets more references through to the join.
 MAX_BITS_LOG2 = 26
@@ -55,14 +56,15 @@ def orphans(refs: DataFrame, parents: DataFrame, key: str, period: str, expected
     (default: the number of parent keys, counted).  Repeated references give
     repeated rows.
     """
-    lives = parents.filter(F.col(key).isNotNull() & F.col(period).isNotNull()).groupBy(key).agg(F.min(period).alias("_first"), F.max(period).alias("_last"))
+    lives = materialize(parents.filter(F.col(key).isNotNull() & F.col(period).isNotNull()).groupBy(key).agg(F.min(period).alias("_first"), F.max(period).alias("_last")))
     refs = refs.filter(F.col(key).isNotNull())
     n = lives.count() if expected is None else expected
     bits = min(MAX_BITS_LOG2, max(10, int(np.ceil(np.log2(max(1, n) * 10)))))
     words = bloom_words(lives, key, bits)
-    tested = refs.withColumn("_maybe", bloom_test(refs, key, words, bits))
+    # tested once and written, as both kinds of references and the hot keys are read from it
+    tested = materialize(refs.withColumn("_maybe", bloom_test(refs, key, words, bits)))
     definite = tested.filter(~F.col("_maybe")).drop("_maybe").withColumn("reason", F.lit("missing"))
-    checked = skew_join(tested.filter("_maybe").drop("_maybe"), lives, key, "left", hot=heavy_keys(refs, key))
+    checked = skew_join(tested.filter("_maybe").drop("_maybe"), lives, key, "left")
     reason = F.when(F.col("_first").isNull(), "missing").when(F.col("_last") < F.col(period), "deleted").when(F.col("_first") > F.col(period), "later")
     verified = checked.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("_first", "_last")
     return definite.unionByName(verified)
