@@ -312,10 +312,13 @@ def knn(vectors: DataFrame, vid: str, vec: str, k: int = 5, recall: float = 1.0,
                 blk = np.arange(len(g)) - np.repeat(np.cumsum(rep) - rep, rep)
                 other = (g != s["bin"].to_numpy()[q]) | (blk != s["block"].to_numpy()[q])
                 q, g, blk = q[other], g[other], blk[other]
-                yield pd.DataFrame({"bin": g, "block": blk, "rep": s["rep"].to_numpy()[q], "tau": s["tau"].to_numpy()[q], "v": s["v"].to_numpy()[q]})
+                cut = np.searchsorted(q, np.arange(1, len(s)))
+                yield pd.DataFrame({"rep": s["rep"], "tau": s["tau"], "v": s["v"], "bins": np.split(g, cut), "blocks": np.split(blk, cut)})
 
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # routing is much work on few bytes
-    routed = materialize(first.select("bin", "block", "rep", "v", "tau").repartition(spread, "rep").mapInPandas(route, "bin bigint, block bigint, rep bigint, tau double, v array<double>"))
+    schema = "rep bigint, tau double, v array<double>, bins array<bigint>, blocks array<bigint>"
+    routed = first.select("bin", "block", "rep", "v", "tau").repartition(spread, "rep").mapInPandas(route, schema)
+    routed = materialize(routed.select("rep", "tau", "v", F.explode(F.arrays_zip("bins", "blocks")).alias("x")).select(F.col("x.bins").alias("bin"), F.col("x.blocks").alias("block"), "rep", "tau", "v"))
     per = routed.groupBy("bin", "block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("bigint").alias("parts"))  # one row a bin and block
     queries = routed.join(per, ["bin", "block"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).drop("parts")
     points = data.join(per, ["bin", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
