@@ -46,6 +46,11 @@ def farthest_first(p: DataFrame, k: int) -> list[list[float]]:
     return chosen
 
 
+def random_start(p: DataFrame, k: int, seed: int = 0) -> list[list[float]]:
+    """``k`` rows picked by hash."""
+    return [list(r["v"]) for r in p.orderBy(F.xxhash64(F.lit(seed), "rid"), "rid").limit(k).collect()]
+
+
 def assign(p: DataFrame, centroids: Sequence[Sequence[float]]) -> DataFrame:
     """``p`` with cluster (smallest on ties) and err, the distance: centroids are literals, so there is no join."""
     ds = F.array(*[L.dist(F.col("v"), _vec(c)) for c in centroids])

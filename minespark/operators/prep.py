@@ -124,3 +124,9 @@ def k_folds(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     cut = big * (size + 1)
     fold = F.when(F.col("_no") < cut, F.floor(F.col("_no") / (size + 1))).otherwise(big + F.floor((F.col("_no") - cut) / max(size, 1)))
     return rows.select(*df.columns, (fold + 1).cast("int").alias("fold"))
+
+
+def holdout(df: DataFrame, key: str, share: float = 2 / 3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A training and a test table without a common key, by hash."""
+    train = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    return df.filter(train), df.filter(~train)

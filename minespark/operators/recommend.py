@@ -89,3 +89,14 @@ def evaluate_list(r: DataFrame, cells: DataFrame, method: str, n: int | None = 5
 def sample_cells(r: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """``size`` rated cells, picked by hash."""
     return r.orderBy(F.xxhash64(F.lit(seed), "user", "item"), "user", "item").limit(size).select("user", "item")
+
+
+def sample_any(r: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """``size`` cells of independently drawn users and items, with replacement; unrated ones drop out in the evaluation."""
+    from minespark.operators.prep import with_rid
+
+    users = with_rid(r.select("user").distinct(), ["user"], "_u")
+    items = with_rid(r.select("item").distinct(), ["item"], "_i")
+    n, m = users.count(), items.count()
+    picks = r.sparkSession.range(size).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))).alias("_u"), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(max(m, 1))).alias("_i"))
+    return picks.join(users, "_u").join(items, "_i").select("user", "item")

@@ -61,6 +61,11 @@ def tf_idf(tf: DataFrame, n_docs: int | DataFrame, query: bool = False) -> DataF
     return x.select("doc", "term", "f", "tf", "df", "idf", w.alias("w"))
 
 
+def corpus_without(tf: DataFrame, docs: list[int]) -> DataFrame:
+    """Term frequencies of the corpus without some documents, to weigh it anew as if they had not been seen."""
+    return tf.filter(~F.col("doc").isin(docs))
+
+
 def cosine_weights(x: DataFrame) -> DataFrame:
     """(doc, term, w) scaled to length 1; documents of length 0 drop out."""
     n = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))

@@ -135,6 +135,35 @@ def c45_predict(spark, d) -> DataFrame:
     return m.transform(p).select("vec_id", F.col("cc_group").alias("obs"), "pred")
 
 
+@query(f"""WITH {_LONG}, {_H}, c AS (SELECT attr, v, y, count(*) AS n FROM x GROUP BY 1, 2, 3), cv AS (SELECT *, sum(n) OVER (PARTITION BY attr, v) AS vn, sum(n) OVER (PARTITION BY attr) AS t FROM c),
+e AS (SELECT attr, round(any_value(h) + sum(n * log2(n / vn)) / any_value(t), 12) AS g FROM cv, h GROUP BY 1),
+w AS (SELECT attr FROM e ORDER BY g DESC, list_position(['bene_race_cd', 'bene_sex_ident_cd', 'sp_chf', 'sp_copd', 'sp_cncr'], attr) LIMIT 1),
+m AS (SELECT v, y FROM (SELECT v, y, row_number() OVER (PARTITION BY v ORDER BY n DESC, y) AS r FROM c JOIN w USING (attr)) WHERE r = 1)
+SELECT x.vec_id, m.y AS pred FROM x JOIN w USING (attr) JOIN m USING (v)""")
+def c45_stump(spark, d) -> DataFrame:
+    p = patients(spark, d)
+    return tree.c45(p, CATS, "cc_group", rid="vec_id", max_depth=1).transform(p).select("vec_id", "pred")
+
+
+@query()
+def holdout_naive_bayes(spark, d) -> DataFrame:
+    train, test = prep.holdout(patients(spark, d), "vec_id", 2 / 3, seed=1)
+    return evaluate.overall(bayes.predict(test, bayes.fit(train, CATS, "cc_group")), "cc_group", "pred")
+
+
+@query()
+def svm_cross_validation(spark, d) -> DataFrame:
+    """Five folds: each customer judged by the weights of the others' folds."""
+    c = load(spark, d, "customer")
+    z = c.select("c_custkey", ((F.col("c_acctbal") - 4500) / 3000).alias("x"), ((F.col("c_nationkey") - 12) / 7.0).alias("y"), F.when(F.col("c_acctbal") + 200 * F.col("c_nationkey") > 7000, 1.0).otherwise(-1.0).alias("obs"))
+    rows = materialize(z.join(prep.k_folds(z.select("c_custkey"), "c_custkey", 5, seed=1), "c_custkey"))
+    parts = [svm.predict(rows.filter(F.col("fold") == f), ["x", "y"], svm.fit(rows.filter(F.col("fold") != f), ["x", "y"], "obs", 0.0001, 10), -1) for f in range(1, 6)]
+    got = parts[0]
+    for x in parts[1:]:
+        got = got.unionByName(x)
+    return evaluate.fold_report(got)
+
+
 @query()
 def c45_cross_validation(spark, d) -> DataFrame:
     p = patients(spark, d)
@@ -246,6 +275,27 @@ def dbscan_clusters(spark, d) -> DataFrame:
     return clustering.dbscan(p, 0.3, 4)
 
 
+@query(_KM + " SELECT CAST(a.c AS INTEGER) AS cluster, round(max(sqrt((a.x - c.x)**2 + (a.y - c.y)**2)), 6) AS radius FROM a2 a JOIN c2 c ON a.c = c.c GROUP BY 1")
+def cluster_radius(spark, d) -> DataFrame:
+    m = clustering.kmeans(_customer_points(spark, d), 3, start=[[-1.0, -1.0], [1.0, -1.0], [0.0, 1.0]], max_iterations=3)
+    return clustering.radius(m.assigned).select("cluster", F.round("radius", 6).alias("radius"))
+
+
+@query("""WITH m AS (SELECT avg(s_acctbal) AS a, stddev_samp(s_acctbal) AS s, avg(s_nationkey) AS b, stddev_samp(s_nationkey) AS t FROM supplier), z AS (SELECT s_suppkey AS id, (s_acctbal - a) / s AS x, (s_nationkey - b) / t AS y FROM supplier, m)
+SELECT p.id AS a, q.id AS b FROM z p JOIN z q ON p.id <> q.id WHERE sqrt((p.x - q.x)**2 + (p.y - q.y)**2) <= 0.2 AND sqrt((p.x - q.x)**2 + (p.y - q.y)**2) > 0""")
+def distance_join(spark, d) -> DataFrame:
+    """Pairs of suppliers within a distance, found along a grid."""
+    return clustering.neighbour_pairs(clustering.points(load(spark, d, "supplier"), "s_suppkey", ["s_acctbal", "s_nationkey"]), 0.2)
+
+
+@query("""SELECT bool_and(abs(a - b) <= 1e-8 + 1e-5 * abs(b)) AS all_close FROM (SELECT sum(l_extendedprice * (1 - l_discount)) AS a, sum(l_extendedprice) - sum(l_extendedprice * l_discount) AS b FROM lineitem GROUP BY l_returnflag)""")
+def approximate_equality(spark, d) -> DataFrame:
+    from minespark.functions.linalg import close
+
+    g = load(spark, d, "lineitem").groupBy("l_returnflag").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("a"), (F.sum("l_extendedprice") - F.sum(F.col("l_extendedprice") * F.col("l_discount"))).alias("b"))
+    return g.agg(F.bool_and(close(F.col("a"), F.col("b"))).alias("all_close"))
+
+
 @query()
 def hclust_merges(spark, d) -> DataFrame:
     """Average linkage of nations by the mean balances of their customers and suppliers."""
