@@ -11,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from minespark.operators.rows import skew_join
+from minespark.operators.rows import HEAVY_ROWS, skew_join
 from minespark.scratch import materialize, release
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over edges (u, v), u > v."""
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """One step over at most ``n`` edges (u, v), u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = skew_join(both, least, "u")
+    joined = skew_join(both, least, "u", hot=None if n > HEAVY_ROWS else [])  # no node has more edges than there are
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -36,16 +36,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     raw = edges.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).dropna()
     loops = raw.filter("u = v").select(F.col("u").alias("node")).distinct()
     cur = materialize(raw.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    state, n = None, cur.count()
     for _ in range(max_rounds):
-        big = materialize(_star(cur, True))
-        new = materialize(_star(big, False))
+        big = materialize(_star(cur, True, n))
+        new = materialize(_star(big, False, n))
         row = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         release(cur, big)
         cur = new
         if tuple(row) == state:
             break
-        state = tuple(row)
+        state, n = tuple(row), row[0]
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     tips = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))

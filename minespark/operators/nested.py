@@ -183,8 +183,11 @@ def shred(df: DataFrame, key: str, text: str, envelopes: Sequence[str] = (), rep
     ``repeated``: members that are lists by definition, so a lone object counts
     as a list of one wherever it occurs.  Members that are lists in some record
     and a lone object in another are repeated anyway.  Records without readable
-    JSON (NULL, empty, cut off) have no rows.  Scalars are kept as text.
+    JSON (NULL, empty, cut off) have no rows.  Scalars are kept as text.  A key
+    named like one of the rows' own columns is returned as ``record_<key>``.
     """
+    if key in ("table_name", "id", "parent_table", "parent_id", "ordinal", "fields"):
+        df, key = df.select(F.col(key).alias(f"record_{key}"), text), f"record_{key}"
     edges = schema_graph(df, text, envelopes)
     edges += [(p, m, "list") for p, m, f in edges if m in repeated and f == "object"]
     plan = inlining_plan(edges)

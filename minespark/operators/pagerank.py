@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from minespark.functions.linalg import close
-from minespark.operators.rows import skew_join
+from minespark.operators.rows import heavy_keys, skew_join
 from minespark.scratch import materialize, release
 
 
@@ -34,9 +34,10 @@ def pagerank(edges: DataFrame, d: float = 0.5, max_iterations: int | None = None
     if n == 0:
         return ids.withColumn("pr", F.lit(0.0)), 0
     ranks = materialize(ids.withColumn("pr", F.lit(1.0 / n)))
+    hot = heavy_keys(flow, "src")  # the edges stay the same
     it = 0
     while max_iterations is None or it < max_iterations:
-        sent = skew_join(flow, ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("pr")).alias("s"))
+        sent = skew_join(flow, ranks.withColumnRenamed("id", "src"), "src", hot=hot).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("pr")).alias("s"))
         new = materialize(ranks.withColumnRenamed("pr", "old").join(sent, "id", "left").select("id", (F.lit(d) * F.coalesce("s", F.lit(0.0)) + (1 - d) / n).alias("pr"), "old"))
         it += 1
         done = tolerance and new.agg(F.bool_and(close(F.col("old"), F.col("pr")))).first()[0]

@@ -20,7 +20,10 @@ def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep:
     return df.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in keep])
 
 
-def heavy_keys(df: DataFrame, key: str, limit: int = 1000, min_rows: int = 50_000) -> list:
+HEAVY_ROWS = 50_000  # a key with more rows is hot
+
+
+def heavy_keys(df: DataFrame, key: str, limit: int = 1000, min_rows: int = HEAVY_ROWS) -> list:
     """The at most ``limit`` keys with the most rows, of those with more than ``min_rows`` rows.  Only counts are shuffled."""
     n = df.select(key).filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     return [r[0] for r in n.filter(F.col("_n") > min_rows).orderBy(F.desc("_n"), key).limit(limit).collect()]

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from minespark.functions.stem import stems
 
-CLEAN = r"[^a-zA-Z'.]|^\.|\.$"
-TOKEN = r"^'|'$|'s$|\."
+CLEAN = r"[^a-zA-Z'. ]+|^\.|\.$"  # runs of other characters become one blank
+# the token rules - drop quotes at the ends, a final 's and all periods - applied to the whole text, in which blanks end tokens
+TOKEN = r"(?<!\S)'|'s?(?!\S)|\."
 
 
 def tokens(text: Column) -> Column:
     """Lower-case words: other characters than letters, ' and . separate; then quotes at the ends, a final 's and all periods are removed."""
-    raw = F.split(F.regexp_replace(F.lower(text), CLEAN, " "), r"\s+")
-    return F.filter(F.transform(raw, lambda t: F.regexp_replace(t, TOKEN, "")), lambda t: F.length(t) > 0)
+    clean = F.regexp_replace(F.regexp_replace(F.lower(text), CLEAN, " "), TOKEN, "")
+    return F.array_remove(F.split(clean, " +"), "")
 
 
 def term_frequencies(docs: DataFrame, doc: str, text: str, stemmed: bool = True, stopwords: DataFrame | None = None) -> DataFrame:

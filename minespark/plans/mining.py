@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from minespark.operators import assoc, bayes, clustering, evaluate, neighbours, pagerank, prep, recommend, svm, text, tree
 from minespark.plans.claims import STATUS, _SNAP, _key, clean_claims, snapshot_rows
 from minespark.scratch import materialize
-from minespark.tables import load
+from minespark.tables import load, load_spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -363,7 +363,7 @@ def cf_evaluation(spark, d) -> DataFrame:
 
 
 def _texts(spark, d) -> DataFrame:
-    return load(spark, d, "documents").filter("doc_id IS NOT NULL")
+    return load_spread(spark, d, "documents", "doc_id", "text", "source").filter("doc_id IS NOT NULL")
 
 
 def _tf(spark, d, stemmed: bool = False) -> DataFrame:

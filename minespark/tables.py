@@ -7,3 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def load_spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table whose rows need much work each: if it has fewer files than there are cores, its rows are dealt out to all of them."""
+    df = load(spark, sf_dir, name)
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -91,6 +91,8 @@ def test_tables_and_keys(spark):
     assert [(r.id, r.parent_id, r.value) for r in tags] == [("0.0.0", "0.0", "u"), ("0.0.1", "0.0", "v")]
     rec = nested.flat_table(plan, rows, "rid", "record").orderBy("rid").collect()
     assert [(r.rid, r.name, r.who_age) for r in rec] == [(1, "n", "3"), (4, None, None)]
+    _, clash = nested.shred(df.withColumnRenamed("rid", "id").withColumn("fields", F.lit(1)), "id", "js")
+    assert clash.columns[0] == "record_id" and clash.count() == rows.count()
     empty, none = nested.shred(df.limit(0), "rid", "js")
     assert none.count() == 0 and empty.tables == ["record"]
 
