@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minespark.operators.components import connected_components
-from minespark.operators.rows import skew_join
+from minespark.operators.rows import HEAVY_ROWS, skew_join
 from minespark.scratch import materialize, release
 
 
@@ -49,13 +49,14 @@ def markov_clusters(edges: DataFrame, a: str = "a", b: str = "b", weight: str =
     both = e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.sum("w").alias("w"))
     loops = both.groupBy("j").agg(F.max("w").alias("w")).select(F.col("j").alias("i"), "j", "w")
     flow = materialize(_scaled(both.unionByName(loops), keep, prune))
+    n = flow.count()
     for _ in range(max_rounds):
         columns = flow.select("i", F.col("j").alias("k"), "w")
         rows = flow.select(F.col("i").alias("k"), "j", F.col("w").alias("x"))
-        products = skew_join(rows, columns, "k").select("i", "j", (F.col("w") * F.col("x")).alias("w"))
+        products = skew_join(rows, columns, "k", hot=None if n > HEAVY_ROWS else []).select("i", "j", (F.col("w") * F.col("x")).alias("w"))
         squared = products.repartition("j").groupBy("j", "i").agg(F.sum("w").alias("w"))  # partitioned by column once, for the sum and the scaling
         new = materialize(_scaled(squared.select("i", "j", F.pow("w", inflation).alias("w")), keep, prune))
-        chaos = new.groupBy("j").agg((F.max("w") - F.sum(F.col("w") * F.col("w"))).alias("c")).agg(F.max("c")).first()[0]
+        chaos, n = new.groupBy("j").agg((F.max("w") - F.sum(F.col("w") * F.col("w"))).alias("c"), F.count("*").alias("n")).agg(F.max("c"), F.coalesce(F.sum("n"), F.lit(0))).first()
         release(flow)
         flow = new
         if chaos is None or chaos < tol:
