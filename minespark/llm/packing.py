@@ -71,13 +71,15 @@ def pack(items: DataFrame, kinds: DataFrame, item: str, size: str, kind: str, ca
     exceeds the capacity; then all its pieces but the last fill a container
     each.  Results do not depend on the order or partitions of the rows.
     """
-    small = kinds.filter(F.col(kind).isNotNull() & (F.col(capacity) > 0)).select(F.col(kind).cast("bigint").alias("kind_id"), F.col(capacity).cast("bigint").alias("capacity"))
-    if small.count() > 1000:
+    got = kinds.filter(F.col(kind).isNotNull() & (F.col(capacity) > 0)).select(F.col(kind).cast("bigint"), F.col(capacity).cast("bigint")).limit(1001).collect()
+    if len(got) > 1000:
         raise ValueError("more than 1,000 kinds of containers")
+    every = F.array(*[F.struct(F.lit(k).cast("bigint").alias("kind_id"), F.lit(c).cast("bigint").alias("capacity")) for k, c in sorted(got)])
     items = items.filter(F.col(item).isNotNull() & (F.col(size) >= 0)).select(F.col(item).alias("item_id"), F.col(size).cast("bigint").alias("size"))
     n = items.count() if n_items is None else n_items
     shares = max(1, round(n / SHARE_ROWS))
-    each = items.withColumn("share", F.pmod(F.xxhash64("item_id"), F.lit(shares))).crossJoin(F.broadcast(small))  # every kind packs every item
+    each = items.withColumn("share", F.pmod(F.xxhash64("item_id"), F.lit(shares)))
+    each = each.withColumn("_k", F.explode(every if got else F.array().cast("array<struct<kind_id:bigint,capacity:bigint>>"))).select("item_id", "size", "share", "_k.kind_id", "_k.capacity")  # every kind packs every item
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("item_id", kind="stable")

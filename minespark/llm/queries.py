@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from minespark.functions.keys import name_key
 from minespark.llm import knn, langid, mcl, mixing, packing, tokens
 from minespark.scratch import materialize
-from minespark.tables import load
+from minespark.tables import load, load_spread
 
 
 def p10_model(spark: SparkSession, sf_dir: str) -> langid.Model:
@@ -16,13 +16,13 @@ def p10_model(spark: SparkSession, sf_dir: str) -> langid.Model:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").withColumn("said", langid.label_code(F.col("lang")))
+    docs = load_spread(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("said", langid.label_code(F.col("lang")))
     got = langid.languages_of(docs, "doc_id", "text", p10_model(spark, sf_dir), carry="said")
     return got.filter(~F.col("lang_code").eqNullSafe(F.col("said"))).select("doc_id", "lang_code").distinct()
 
 
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.segments_of(load(spark, sf_dir, "documents"), "doc_id", "text", p10_model(spark, sf_dir))
+    return langid.segments_of(load_spread(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", p10_model(spark, sf_dir))
 
 
 # -- nearest vectors -------------------------------------------------------
@@ -91,7 +91,7 @@ SELECT root AS econ_id_a, id AS econ_id_b FROM m WHERE id <> root AND root IN (S
 
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source and tokens of every document, written once."""
-    return materialize(tokens.token_counts(load(spark, sf_dir, "documents"), "text", ["doc_id", "source"]))
+    return materialize(tokens.token_counts(load_spread(spark, sf_dir, "documents", "doc_id", "source", "text"), "text", ["doc_id", "source"]))
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
