@@ -11,8 +11,9 @@ def confusion(df: DataFrame, obs: str = "obs", pred: str = "pred", dense: bool =
     n = df.groupBy(F.col(pred).cast("string").alias("pred"), F.col(obs).cast("string").alias("obs")).agg(F.count("*").alias("n"))
     if not dense:
         return n
-    labels = df.select(F.col(obs).cast("string").alias("obs")).distinct()
-    return labels.withColumnRenamed("obs", "pred").crossJoin(F.broadcast(labels)).join(n, ["pred", "obs"], "left").select("pred", "obs", F.coalesce("n", F.lit(0)).alias("n"))  # labels x labels
+    labels = df.agg(F.array_sort(F.collect_set(F.col(obs).cast("string"))).alias("_l"))  # one row
+    cells = labels.select(F.explode("_l").alias("pred"), "_l").select("pred", F.explode("_l").alias("obs"))
+    return cells.join(n, ["pred", "obs"], "left").select("pred", "obs", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def confusion_wide(df: DataFrame, labels: list[str], obs: str = "obs", pred: str = "pred") -> DataFrame:
