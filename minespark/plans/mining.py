@@ -417,16 +417,22 @@ def okapi_neighbours(spark, d) -> DataFrame:
     return _similar(spark, d, "okapi").select("query", "doc", "rank")
 
 
-@query()
+_AUTHOR = SQL["okapi_neighbours"].replace(_TOP, "") + """, k AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY round(s, 10) DESC, doc) AS r FROM g),
+c AS (SELECT q, source, count(*) AS n FROM k JOIN documents ON doc = doc_id WHERE r <= 5 GROUP BY 1, 2),
+a AS (SELECT q AS query, source AS pred FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, source) AS o FROM c) WHERE o = 1), j AS (SELECT query, source AS obs, pred FROM a JOIN documents ON doc_id = query)"""
+
+
+@query(_AUTHOR + " SELECT query, obs, pred FROM j")
 def author_knn(spark, d) -> DataFrame:
     """Each queried document's source, as most of its five most similar documents have it."""
     a = _texts(spark, d).select(F.col("doc_id").alias("doc"), F.col("source").alias("author"))
     return text.knn_authors(_similar(spark, d, "okapi"), a)
 
 
-@query()
+@query(_AUTHOR + """, h AS (SELECT obs AS author, CAST(sum(CAST(obs = pred AS INT)) AS BIGINT) AS hits, CAST(sum(CAST(obs <> pred AS INT)) AS BIGINT) AS misses FROM j GROUP BY 1), t AS (SELECT pred AS author, CAST(sum(CAST(obs <> pred AS INT)) AS BIGINT) AS strikes FROM j GROUP BY 1)
+SELECT author, hits, strikes, misses FROM h FULL JOIN t USING (author)""")
 def author_knn_report(spark, d) -> DataFrame:
-    return evaluate.author_report(author_knn(spark, d))
+    return evaluate.author_report(author_knn(spark, d)).select("author", "hits", "strikes", "misses")
 
 
 @query()

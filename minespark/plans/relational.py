@@ -342,6 +342,6 @@ def author_summary(spark, d) -> DataFrame:
     return r.select("author", "hits", "strikes", "misses", *[F.round(c, 8).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query()
+@query("SELECT CAST(f AS INTEGER) AS fold, count(*) AS n FROM (SELECT ntile(7) OVER (ORDER BY c_custkey) AS f FROM customer) GROUP BY 1")
 def fold_sizes(spark, d) -> DataFrame:
     return prep.k_folds(load(spark, d, "customer").select("c_custkey"), "c_custkey", 7, seed=1).groupBy("fold").agg(F.count("*").alias("n"))
