@@ -485,8 +485,9 @@ def c45(df: DataFrame, attrs: Sequence[str], label: str, threshold: float = 0.0,
 
 def forest(df: DataFrame, attrs: Sequence[str], label: str, n_attrs: int, n_rows: int, n_trees: int, threshold: float = 0.0, use_ratio: bool = False, key: Sequence[str] | None = None, seed: int = 0) -> TreeModel:
     """A random forest: each tree has its own ``n_attrs`` attributes and ``n_rows`` rows drawn with replacement; all trees grow together."""
-    rows = with_rid(df.filter(F.col(label).isNotNull()).select(*dict.fromkeys([*(key or []), *attrs, label])), key or [*attrs, label])
-    rows = materialize(rows)
+    order = [F.col(c).alias(f"_order{i}") for i, c in enumerate(key or [*attrs, label])]
+    rows = df.filter(F.col(label).isNotNull()).select(*order, *attrs, label)
+    rows = materialize(with_rid(rows, [f"_order{i}" for i in range(len(order))]))
     n = rows.count()
     drawn = bootstrap(rows, "_rid", n, n_rows, seed, n_trees).withColumnRenamed("sample", "_tree")
     chosen = {t: sorted(sample_columns(attrs, min(n_attrs, len(attrs)), seed * 1000 + t), key=list(attrs).index) for t in range(n_trees)}
@@ -500,11 +501,12 @@ def cross_validate(df: DataFrame, attrs: Sequence[str], label: str, folds: DataF
     The trees of all folds grow together, so the training rows are held k - 1
     times; leave-one-out, as many folds as rows, is meant for small tables.
     """
-    rows = materialize(df.select(key, *attrs, label).join(folds.select(key, "fold"), key).withColumn("_rid", F.xxhash64(key)))
+    rows = df.select(F.col(key).alias("_key"), *attrs, label).join(folds.select(F.col(key).alias("_key"), "fold"), "_key")
+    rows = materialize(rows.withColumn("_rid", F.xxhash64("_key")))
     k = rows.agg(F.max("fold")).first()[0]
     if k is None:
-        return rows.select(key, "fold", F.col(label).cast("string").alias("obs"), F.lit(None).cast("string").alias("pred")).limit(0)
+        return rows.select(F.col("_key").alias(key), "fold", F.col(label).cast("string").alias("obs"), F.lit(None).cast("string").alias("pred")).limit(0)
     train = rows.withColumn("_tree", F.explode(F.sequence(F.lit(1), F.lit(int(k))))).filter(F.col("_tree") != F.col("fold")).withColumn("_tree", F.col("_tree").cast("int"))
     cats = [a for a in attrs if not is_numeric(df, a)]
     model = grow(train, attrs, label, threshold, use_ratio, tree_attrs={t: list(attrs) for t in range(1, int(k) + 1)}, domains=levels(rows, cats, most=10_000))
-    return model.by_number(rows, "fold").select(key, "fold", F.col(label).cast("string").alias("obs"), "pred")
+    return model.by_number(rows, "fold").select(F.col("_key").alias(key), "fold", F.col(label).cast("string").alias("obs"), "pred")

@@ -281,6 +281,17 @@ def test_recommendation_by_hand(spark):
     assert recommend.evaluate_list(r, t.limit(1), "user-mean-utility").count() == 0
 
 
+def test_samples_and_splits(spark):
+    r = recommend.ratings_of(spark.createDataFrame([(u, i, float(u + i)) for u in range(8) for i in range(5) if (u * i) % 3], "u int, i int, r double"), "u", "i", "r")
+    assert recommend.sample_cells(r, 7, 1).count() == 7 and recommend.sample_any(r, 9, 1).count() == 9
+    a, b = prep.holdout(spark.range(300), "id", seed=2)
+    assert a.count() + b.count() == 300 and a.join(b, "id").count() == 0 and 150 < a.count() < 250
+    ids = prep.with_rid(spark.range(10), ["id"])
+    assert [x.n for x in prep.bootstrap(ids, "_rid", 10, 25, copies=2).groupBy("sample").agg(F.count("*").alias("n")).collect()] == [25, 25]
+    p = spark.createDataFrame([(i, [float(i)]) for i in range(9)], "rid long, v array<double>")
+    assert len(clustering.random_start(p, 3, seed=1)) == 3
+
+
 def test_pagerank_rules(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("a", "c"), ("d", "a")], "src string, dst string")
     ids = "abcd"

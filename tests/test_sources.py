@@ -97,6 +97,19 @@ def test_classify_command(spark, tmp_path):
     assert "Overall accuracy: 1.0" in (tmp_path / "o" / "b_results.out").read_text()
 
 
+def test_forest_and_text_commands(spark, tmp_path):
+    b = put(tmp_path, "b.csv", BALLOONS)
+    cli.main(["forest", b, "--folds", "2", "--attrs", "2", "--rows", "6", "--trees", "3", "--out", str(tmp_path / "o"), "--noprint"])
+    assert "Pooled accuracy" in (tmp_path / "o" / "b_rf_results.out").read_text()
+    for author, words in (("ann", "tea cups and tea leaves"), ("bob", "iron rails and iron wheels")):
+        for i in range(3):
+            put(tmp_path, f"c/{author}/{i}.txt", f"{words} {'x' * i} number {i} {author}")
+    cli.main(["vectorize", str(tmp_path / "c"), "--out", str(tmp_path / "v"), "--noprint"])
+    assert spark.read.parquet(str(tmp_path / "v" / "vectorized")).filter("term = 'tea' AND f = 2").count() == 3
+    cli.main(["authors", str(tmp_path / "c"), "--k", "2", "--metric", "cosine", "--out", str(tmp_path / "o"), "--noprint"])
+    assert "1.0000" in (tmp_path / "o" / "authors_knn_results.out").read_text()
+
+
 def test_scoring_a_stream(spark, tmp_path):
     df, label = readers.classified_csv(spark, put(tmp_path, "b.csv", BALLOONS))
     m = tree.c45(df, ["Color", "Act", "Age"], label, rid="_rid")
