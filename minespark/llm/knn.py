@@ -86,29 +86,54 @@ class Tree:
     def bounds(self, q: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, bin, squared distance of the bin's nearest box) wherever that is at most the query's ``limit``.
 
-        Inner nodes are pruned by the boxes around their leaves.
+        Queries of one home leaf go down the tree together, as the box around
+        them with their greatest limit; only at the leaves each is bounded by itself.
         """
         lo, hi, first, count, kids, leaf = self._node_boxes()
-        qi, ni = np.arange(len(q)), np.zeros(len(q), dtype=np.int64)
-        found = []
-        while len(qi):
-            x = q[qi]
-            gap = np.maximum(np.maximum(lo[ni] - x, x - hi[ni]), 0)
-            d = np.einsum("ij,ij->i", gap, gap)
-            ok = d <= limit[qi]
-            qi, ni, d = qi[ok], ni[ok], d[ok]
+        z = np.zeros(0, dtype=np.int64)
+        if not len(q):
+            return z, z, np.zeros(0)
+        home = self.assign(q)
+        order = np.argsort(home, kind="stable")
+        x, lim = q[order], limit[order]
+        start = np.flatnonzero(np.append(True, np.diff(home[order]) != 0))
+        end = np.append(start[1:], len(x))
+        glo, ghi, glim = np.minimum.reduceat(x, start), np.maximum.reduceat(x, start), np.maximum.reduceat(lim, start)
+        gi, ni = np.arange(len(start)), np.zeros(len(start), dtype=np.int64)
+        found = [(z, z)]
+        while len(gi):
+            gap = np.maximum(np.maximum(lo[ni] - ghi[gi], glo[gi] - hi[ni]), 0)
+            ok = np.einsum("ij,ij->i", gap, gap) <= glim[gi]
+            gi, ni = gi[ok], ni[ok]
             at = leaf[ni] >= 0
-            found.append((qi[at], self.bins[leaf[ni[at]]], d[at]))
-            qi, ni = qi[~at], ni[~at]
+            found.append((gi[at], leaf[ni[at]]))
+            gi, ni = gi[~at], ni[~at]
             n = count[ni]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            qi, ni = np.repeat(qi, n), kids[np.repeat(first[ni], n) + step]
-        a, b, c = (np.concatenate(x) for x in zip(*found))
+            gi, ni = np.repeat(gi, n), kids[np.repeat(first[ni], n) + step]
+        gi, li = (np.concatenate(v) for v in zip(*found))
+        by = np.argsort(gi, kind="stable")
+        gi, li = gi[by], li[by]
+        cut = np.searchsorted(gi, np.arange(len(start) + 1))
+        out = [(z, z, np.zeros(0))]
+        for g in range(len(start)):
+            leaves = li[cut[g] : cut[g + 1]]
+            if not len(leaves):
+                continue
+            low, high = self.low[leaves], self.high[leaves]
+            rows = max(1, 2_000_000 // (len(leaves) * x.shape[1]))
+            for i in range(start[g], end[g], rows):
+                j = min(end[g], i + rows)
+                gap = np.maximum(np.maximum(low[None] - x[i:j, None], x[i:j, None] - high[None]), 0)
+                d = np.einsum("qld,qld->ql", gap, gap)
+                r, c = np.nonzero(d <= lim[i:j, None])
+                out.append((order[i + r], self.bins[leaves[c]], d[r, c]))
+        a, b, c = (np.concatenate(v) for v in zip(*out))
         order = np.lexsort((c, b, a))
         a, b, c = a[order], b[order], c[order]
-        first = np.ones(len(a), dtype=bool)
-        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return a[first], b[first], c[first]
+        one = np.ones(len(a), dtype=bool)
+        one[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return a[one], b[one], c[one]
 
     def _node_boxes(self):
         """Boxes of all nodes, and their children as (first, count) into one list."""
@@ -297,8 +322,8 @@ def knn(vectors: DataFrame, vid: str, vec: str, k: int = 5, recall: float = 1.0,
     def route(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = shared.value
         for b in batches:
-            for i in range(0, len(b), 2000):
-                s = b.iloc[i : i + 2000]
+            for i in range(0, len(b), 10_000):
+                s = b.iloc[i : i + 10_000]
                 if not len(s):
                     continue
                 q, g, d = t.bounds(_matrix(s["v"]), s["tau"].to_numpy() + EPS)
@@ -315,9 +340,9 @@ def knn(vectors: DataFrame, vid: str, vec: str, k: int = 5, recall: float = 1.0,
                 cut = np.searchsorted(q, np.arange(1, len(s)))
                 yield pd.DataFrame({"rep": s["rep"], "tau": s["tau"], "v": s["v"], "bins": np.split(g, cut), "blocks": np.split(blk, cut)})
 
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # routing is much work on few bytes
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # routing is much work on few bytes; neighbouring queries stay together
     schema = "rep bigint, tau double, v array<double>, bins array<bigint>, blocks array<bigint>"
-    routed = first.select("bin", "block", "rep", "v", "tau").repartition(spread, "rep").mapInPandas(route, schema)
+    routed = first.select("bin", "block", "rep", "v", "tau").repartitionByRange(spread, "bin", "rep").sortWithinPartitions("bin").mapInPandas(route, schema)
     routed = materialize(routed.select("rep", "tau", "v", F.explode(F.arrays_zip("bins", "blocks")).alias("x")).select(F.col("x.bins").alias("bin"), F.col("x.blocks").alias("block"), "rep", "tau", "v"))
     per = routed.groupBy("bin", "block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("bigint").alias("parts"))  # one row a bin and block
     queries = routed.join(per, ["bin", "block"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).drop("parts")
