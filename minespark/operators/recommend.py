@@ -1,10 +1,22 @@
-"""Neighbourhood collaborative filtering over long ratings (user, item, rating)."""
+"""Neighbourhood collaborative filtering over long ratings (user, item, rating).
+
+Similarities are taken by a join on what both rated or, where users (or items)
+are many, in blocks: one matrix product per pair of blocks, of which only the
+similarities asked for, or the nearest neighbours of each cell, become rows.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from minespark.scratch import materialize
+
+BLOCK = 1024  # vectors of a block, in expectation; they meet blocks of 4 * BLOCK
+COLUMNS = 4096  # most columns of a dense block
+
 METHODS = {f"{kind}-{name}": (kind, name) for kind in ("user", "item") for name in ("mean-utility", "weighted-sum", "adjusted-weighted-sum")}
 
 
@@ -31,22 +43,123 @@ def similarity(r: DataFrame, kind: str = "user") -> DataFrame:
     return j.select("a", "b", F.when(F.round(prod, 12) > 0, F.col("d") / prod).alias("sim"))
 
 
-def predict(r: DataFrame, targets: DataFrame, kind: str = "user", how: str = "mean-utility", n: int | None = 5, sim: DataFrame | None = None, low: float = -10.0, high: float = 10.0) -> DataFrame:
+def _pairs_of_blocks(r: DataFrame, kind: str, targets: DataFrame | None = None):
+    """Cogroups of vectors (id, o, rating, x, norm; want, the targets' other ends) that meet, each pair of vectors in one of them."""
+    a, other = ("user", "item") if kind == "user" else ("item", "user")
+    v = r.groupBy(F.col(a).alias("id")).agg(F.avg("rating").alias("m"), F.collect_list(F.struct(F.col(other).alias("o"), "rating")).alias("l"))
+    v = v.select("id", F.col("l.o").alias("o"), F.col("l.rating").alias("rating"), F.transform("l", lambda e: e["rating"] - F.col("m")).alias("x"))
+    v = materialize(v.withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, e: s + e * e))))
+    n = v.count()
+    na, nb = max(1, -(-n // BLOCK)), max(1, -(-n // (4 * BLOCK)))
+    p = v if targets is None else targets.groupBy(F.col(a).alias("id")).agg(F.collect_list(other).alias("want")).join(v, "id", "left")
+    p = p.withColumn("ba", F.pmod(F.xxhash64("id"), F.lit(na)).cast("int")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    q = v.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int")).withColumn("ba", F.explode(F.sequence(F.lit(0), F.lit(na - 1))))
+    q = q.select(*[F.col(c).alias(c) for c in q.columns])  # columns of its own: p has the same table's
+    return p.groupBy("ba", "bb").cogroup(q.groupBy("ba", "bb"))
+
+
+def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of every value of the lists; a missing list is empty."""
+    lists = [() if x is None else x for x in lists]
+    return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.asarray(x) for x in lists if len(x)] or [np.empty(0)])
+
+
+def _products(p: pd.DataFrame, q: pd.DataFrame, shared: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Similarities of all rows of p and q, NaN where a norm is 0 and 0 where nothing is shared; whether something is."""
+    (pr, po), (_, px), (qr, qo), (_, qx) = _flat(p["o"]), _flat(p["x"]), _flat(q["o"]), _flat(q["x"])
+    codes, names = pd.factorize(np.concatenate([po.astype(object), qo.astype(object)]))
+    pc, qc = codes[: len(po)], codes[len(po) :]
+    dots, common = np.zeros((len(p), len(q))), np.zeros((len(p), len(q)), bool) if shared else None
+
+    def dense(rows, cols, values, at, n):
+        on = (cols >= at) & (cols < at + COLUMNS)
+        m = np.zeros((n, min(COLUMNS, len(names) - at)))
+        m[rows[on], cols[on] - at] = values[on]
+        return m
+
+    for at in range(0, len(names), COLUMNS):
+        dots += dense(pr, pc, px, at, len(p)) @ dense(qr, qc, qx, at, len(q)).T
+        if shared:
+            common |= dense(pr, pc, np.ones(len(pr)), at, len(p)) @ dense(qr, qc, np.ones(len(qr)), at, len(q)).T > 0
+    prod = np.outer(p["norm"].to_numpy(dtype=float), q["norm"].to_numpy(dtype=float))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(np.round(prod, 12) > 0, dots / prod, np.nan), common
+
+
+def similarity_in_blocks(r: DataFrame, kind: str = "user") -> DataFrame:
+    """As ``similarity``, for many vectors: a row of every pair that shares something, but no row of what they share."""
+    a = r.schema[kind].dataType.simpleString()
+
+    def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame({"a": [], "b": [], "sim": []})
+        s, common = _products(p, q, True)
+        x, y = p["id"].to_numpy(), q["id"].to_numpy()
+        i, j = np.nonzero(common & (x[:, None] != y[None, :]))
+        return pd.DataFrame({"a": x[i], "b": y[j], "sim": s[i, j]})
+
+    return _pairs_of_blocks(r, kind).applyInPandas(meet, f"a {a}, b {a}, sim double")
+
+
+def nearest_raters(r: DataFrame, targets: DataFrame, kind: str, n: int) -> DataFrame:
+    """(user, item, _b, rating, sim): of each target the n most similar others with the other end's rating, in blocks.
+
+    As in ``predict``, NULL similarities count 0 and ties go to the smaller
+    one; similarities that agree to twelve decimals are equal.
+    """
+    a, other = ("user", "item") if kind == "user" else ("item", "user")
+    ta, to = r.schema[a].dataType.simpleString(), r.schema[other].dataType.simpleString()
+
+    def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = {"id": [], "o": [], "_b": [], "rating": [], "sim": []}
+        if len(p) and len(q):
+            q = q.sort_values("id", ignore_index=True)
+            s = np.round(np.nan_to_num(_products(p, q)[0]), 12)
+            x, y = p["id"].to_numpy(), q["id"].to_numpy()
+            s[x[:, None] == y[None, :]] = -np.inf
+            (wr, wo), (qr, qo), (_, qv) = _flat(p["want"]), _flat(q["o"]), _flat(q["rating"])
+            wanted, rated = pd.Series(wr).groupby(wo).groups, pd.Series(qr).groupby(qo).groups
+            for o in wanted.keys() & rated.keys():
+                rows, at = wr[wanted[o]], rated[o].to_numpy()
+                t = s[np.ix_(rows, qr[at])]
+                k = min(n, t.shape[1])
+                least = -np.partition(-t, k - 1, axis=1)[:, k - 1]
+                i, j = np.nonzero((t >= least[:, None]) & np.isfinite(t))
+                order = np.lexsort((j, -t[i, j], i))  # q, and so j, is in the order of ids
+                i, j = i[order], j[order]
+                on = np.arange(len(i)) - np.searchsorted(i, i, side="left") < n
+                i, j = i[on], j[on]
+                for c, values in zip(out, (x[rows[i]], np.full(len(i), o, dtype=object), y[qr[at[j]]], qv[at[j]], t[i, j])):
+                    out[c].append(values)
+        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
+
+    part = _pairs_of_blocks(r, kind, targets).applyInPandas(meet, f"id {ta}, o {to}, _b {ta}, rating double, sim double")
+    w = Window.partitionBy("id", "o").orderBy(F.desc("sim"), "_b")
+    return part.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).select(F.col("id").alias(a), F.col("o").alias(other), "_b", "rating", "sim")
+
+
+def predict(r: DataFrame, targets: DataFrame, kind: str = "user", how: str = "mean-utility", n: int | None = 5, sim: DataFrame | None = None, low: float = -10.0, high: float = 10.0, blocks: bool = False) -> DataFrame:
     """(user, item, pred) for every target (user, item), from the n most similar neighbours that have the other end's rating.
 
     The target's own cell is never used, but the means of the adjusted sum are
     taken over all ratings.  Weights are signed and divided by their plain sum;
     without ``n`` that sum runs over all other users (items), also those
     without the rating.  NULL similarities come last.  Predictions are clipped.
+    ``blocks`` finds the n neighbours by ``nearest_raters``.
     """
     a, other = ("user", "item") if kind == "user" else ("item", "user")
-    sim = similarity(r, kind) if sim is None else sim
+    if blocks and (n is None or sim is not None):
+        raise ValueError("blocks needs n and takes no sim")
     t = targets.select("user", "item").distinct()
-    cand = t.join(r.select(F.col(a).alias("_b"), F.col(other), F.col("rating")), other).filter(F.col("_b") != F.col(a))
-    cand = cand.join(sim.select(F.col("a").alias(a), F.col("b").alias("_b"), "sim"), [a, "_b"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
-    if n is not None:
-        w = Window.partitionBy("user", "item").orderBy(F.col("sim").desc_nulls_last(), "_b")
-        cand = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
+    if blocks:
+        cand = materialize(nearest_raters(r, t, kind, n))
+    else:
+        sim = similarity(r, kind) if sim is None else sim
+        cand = t.join(r.select(F.col(a).alias("_b"), F.col(other), F.col("rating")), other).filter(F.col("_b") != F.col(a))
+        cand = cand.join(sim.select(F.col("a").alias(a), F.col("b").alias("_b"), "sim"), [a, "_b"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
+        if n is not None:
+            w = Window.partitionBy("user", "item").orderBy(F.col("sim").desc_nulls_last(), "_b")
+            cand = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
     means = r.groupBy(F.col(a).alias("_e")).agg(F.avg("rating").alias("_mean"))
     if how == "mean-utility":
         p = cand.groupBy("user", "item").agg(F.avg("rating").alias("pred"))
@@ -66,10 +179,10 @@ def predict(r: DataFrame, targets: DataFrame, kind: str = "user", how: str = "me
     return t.join(p.select("user", "item", "pred"), ["user", "item"], "left")
 
 
-def recommend(r: DataFrame, targets: DataFrame, method: str, n: int | None = 5) -> DataFrame:
+def recommend(r: DataFrame, targets: DataFrame, method: str, n: int | None = 5, blocks: bool = False) -> DataFrame:
     """One of METHODS, by name."""
     kind, how = METHODS[method]
-    return predict(r, targets, kind, how, n)
+    return predict(r, targets, kind, how, n, blocks=blocks)
 
 
 def all_cells(r: DataFrame) -> DataFrame:
