@@ -50,20 +50,20 @@ def item_support(spark, d) -> DataFrame:
 
 @query(f"WITH {_B} SELECT array_to_string(items, ',') AS items, c AS n FROM sets")
 def frequent_itemsets(spark, d) -> DataFrame:
-    sets, _ = assoc.frequent_itemsets(brand_baskets(spark, d), MIN_SUPPORT, max_len=3)
+    sets, _ = assoc.frequent_itemsets(brand_baskets(spark, d), MIN_SUPPORT)
     return sets.select(F.array_join("items", ",").alias("items"), "n")
 
 
 @query(f"WITH {_B} SELECT array_to_string(items, ',') AS items, c AS n FROM sets a WHERE NOT EXISTS (SELECT 1 FROM sets b WHERE len(b.items) = len(a.items) + 1 AND list_has_all(b.items, a.items))")
 def maximal_itemsets(spark, d) -> DataFrame:
-    sets, _ = assoc.frequent_itemsets(brand_baskets(spark, d), MIN_SUPPORT, max_len=3)
+    sets, _ = assoc.frequent_itemsets(brand_baskets(spark, d), MIN_SUPPORT)
     return assoc.maximal_itemsets(sets).select(F.array_join("items", ",").alias("items"), "n")
 
 
 @query(f"""WITH {_B}, r AS (SELECT list_filter(items, lambda v: v <> u.y) AS lhs, u.y AS rhs, c FROM sets, unnest(items) AS u(y) WHERE len(items) > 1)
 SELECT array_to_string(lhs, ',') AS antecedent, rhs AS consequent, round(r.c / n, 8) AS support, round(r.c / s.c, 8) AS confidence FROM r JOIN sets s ON s.items = lhs, n WHERE r.c / s.c >= 0.15""")
 def association_rules(spark, d) -> DataFrame:
-    sets, total = assoc.frequent_itemsets(brand_baskets(spark, d), MIN_SUPPORT, max_len=3)
+    sets, total = assoc.frequent_itemsets(brand_baskets(spark, d), MIN_SUPPORT)
     r = assoc.rules(sets, total, MIN_CONFIDENCE)
     return r.select(F.array_join("antecedent", ",").alias("antecedent"), "consequent", F.round("support", 8).alias("support"), F.round("confidence", 8).alias("confidence"))
 
