@@ -13,6 +13,7 @@ which rows move down the tree together.
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections import defaultdict
 from collections.abc import Sequence
@@ -166,7 +167,7 @@ def _local_split(b: pd.DataFrame, y: np.ndarray, k: int, attrs: Sequence[str], n
     return None if best is None else best[1:]
 
 
-def grow_local(b: pd.DataFrame, attrs: Sequence[str], left: Sequence[str], numeric: set[str], domains: dict[str, list], threshold: float, use_ratio: bool, depth: int, max_depth: int, only_present: bool) -> list:
+def grow_local(b: pd.DataFrame, attrs: Sequence[str], left: Sequence[str], numeric: set[str], domains: dict[str, list], threshold: float, use_ratio: bool, depth: int, max_depth: int | None, only_present: bool) -> list:
     """A whole subtree from the rows (_rid, attributes, _label) of its root: nodes as [decision, p, var, edges], children by position."""
     nodes: list = []
 
@@ -186,7 +187,7 @@ def grow_local(b: pd.DataFrame, attrs: Sequence[str], left: Sequence[str], numer
             continue
         top, p, labels = leaf_of(rows)
         nodes[at] = [top, p, None, []]
-        if labels > 1 and mine and dep < max_depth:
+        if labels > 1 and mine and (max_depth is None or dep < max_depth):
             y, names = pd.factorize(rows["_label"])
             won = _local_split(rows, y, len(names), mine, numeric, threshold, use_ratio if dep == 0 or use_ratio != "root" else False)
             if won:
@@ -370,14 +371,14 @@ def grow(
     ratio_scope: str = "all",
     tree_attrs: dict[int, Sequence[str]] | None = None,
     domains: dict[str, list] | None = None,
-    max_depth: int = 50,
+    max_depth: int | None = None,
     only_present: bool = False,
     local_rows: int = LOCAL_ROWS,
 ) -> TreeModel:
     """Grow the trees of ``df``, which has the columns _tree (INT), _rid (BIGINT, row order), attributes and label.
 
     A node is a leaf if it is pure, has no attribute left or no gain above the
-    threshold.  Categorical attributes split into all values of ``domains``
+    threshold, or at ``max_depth``, if that is given.  Categorical attributes split into all values of ``domains``
     (default: of the data; ``only_present``: of the node) and are used once a
     path; an empty branch gets its parent's majority.  Numeric attributes
     (numeric columns) split in two and may be used again.  Majority ties go to
@@ -387,6 +388,8 @@ def grow(
     """
     attrs = list(attrs)
     numeric = {a for a in attrs if is_numeric(df, a)}
+    if max_depth is None and threshold < 0 and numeric:
+        raise ValueError("splits that part nothing would never end: a threshold below 0 needs max_depth")
     cats = [a for a in attrs if a not in numeric]
     domains = levels(df, cats, most=10_000) if domains is None else domains
     rows = df.filter(F.col(label).isNotNull()).select("_tree", "_rid", *attrs, F.col(label).cast("string").alias("_label"))
@@ -396,7 +399,7 @@ def grow(
     frontier = {(t, 0) for t in (tree_attrs or {0: attrs})}
     for t, _ in frontier:
         left[t, 0] = list((tree_attrs or {0: attrs})[t])
-    for depth in range(max_depth + 1):
+    for depth in itertools.count():
         labels: dict[tuple[int, int], dict[str, int]] = defaultdict(dict)
         for r in cur.groupBy("_tree", "_node", "_label").agg(F.count("*").alias("n")).collect():  # open nodes x labels
             labels[r["_tree"], r["_node"]][r["_label"]] = r["n"]
@@ -407,7 +410,7 @@ def grow(
                 continue
             best = min(c, key=lambda x: (-c[x], x))
             trees[key[0]][key[1]] = Node(best, c[best] / sum(c.values()))
-            if len(c) > 1 and left[key] and depth < max_depth:
+            if len(c) > 1 and left[key] and (max_depth is None or depth < max_depth):
                 (small if sum(c.values()) <= local_rows else open_nodes).append(key)
         if small:
             _finish(cur, small, trees, left, attrs, numeric, domains, threshold, (ratio_scope if ratio_scope == "root" else True) if use_ratio else False, depth, max_depth, only_present)
@@ -458,7 +461,7 @@ def grow(
     return TreeModel(dict(trees), numeric)
 
 
-def _finish(cur: DataFrame, keys: list, trees: dict, left: dict, attrs, numeric, domains, threshold, use_ratio, depth: int, max_depth: int, only_present: bool) -> None:
+def _finish(cur: DataFrame, keys: list, trees: dict, left: dict, attrs, numeric, domains, threshold, use_ratio, depth: int, max_depth: int | None, only_present: bool) -> None:
     """Grow the subtrees of the given nodes, one task each, and hang them in."""
     spark = cur.sparkSession
     want = spark.createDataFrame([(t, n, left[t, n]) for t, n in keys], "_tree int, _node int, _left array<string>")
