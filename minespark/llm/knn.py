@@ -2,10 +2,11 @@
 
 A tree of k-means splits is fitted on a bounded sample; every vector is put
 into one of its leaves, and each leaf gets the bounding box of all its vectors.
-A query visits leaves best bin first: in the order of their boxes' distances
-from it, starting with its own bin.  It stops when no box left is nearer than
-its k-th neighbour so far, which is exact, or, for a recall below 1, after as
-many bins as a calibration against brute force found necessary.
+A query is searched in its own bin (and block) first, which bounds the distance
+of its k-th neighbour.  In one pass it then visits all bins whose boxes are
+within that bound, which is exact.  There is no queue of bins, and the bound is
+not tightened on the way.  For a recall below 1 only the nearest of these bins
+are visited, as many as a calibration against brute force found necessary.
 
 Leaves that follow each other in the tree are shipped together as bins of some
 hundred vectors; a bin too large for one task is cut into blocks, and so are
