@@ -74,17 +74,24 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of each cluster, named by its smallest member."""
+    points, _ = mcl.link_clusters(load(spark, sf_dir, "economy"), "econ_id", "c0", "c1", eps=1.0)
+    return mcl.cluster_members(points).filter("id = cluster").select("cluster", "n")
+
+
+def p7_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and the three most typical members of each cluster."""
     points, of_cell = mcl.link_clusters(load(spark, sf_dir, "economy"), "econ_id", "c0", "c1", eps=1.0)
     return mcl.typical_members(mcl.cluster_members(points), of_cell).select("cluster", "n", F.array_join(F.transform("typical", lambda x: x.cast("string")), " ").alias("typical"))
 
 
-P7_SQL = """WITH RECURSIVE p AS (SELECT DISTINCT econ_id AS id, c0 AS x, c1 AS y, floor(c0) AS gx, floor(c1) AS gy FROM economy WHERE c0 IS NOT NULL AND c1 IS NOT NULL),
+_P7 = """WITH RECURSIVE p AS (SELECT DISTINCT econ_id AS id, c0 AS x, c1 AS y, floor(c0) AS gx, floor(c1) AS gy FROM economy WHERE c0 IS NOT NULL AND c1 IS NOT NULL),
 g AS (SELECT p.*, gx + dx AS hx, gy + dy AS hy FROM p, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy)),
 e AS (SELECT a.id AS u, b.id AS v FROM g a JOIN p b ON a.hx = b.gx AND a.hy = b.gy WHERE a.id <> b.id AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 1 + 1e-9),
 c(u, root) AS (SELECT id, id FROM p UNION SELECT e.v, c.root FROM c JOIN e ON c.u = e.u WHERE c.root < e.v),
 m AS (SELECT u AS id, min(root) AS root FROM c GROUP BY u)
-SELECT root AS econ_id_a, id AS econ_id_b FROM m WHERE id <> root AND root IN (SELECT root FROM m GROUP BY root HAVING count(*) >= 3)"""
+"""
+P7_SQL = _P7 + "SELECT root AS econ_id_a, id AS econ_id_b FROM m WHERE id <> root AND root IN (SELECT root FROM m GROUP BY root HAVING count(*) >= 3)"
 
 # -- containers and mixtures -----------------------------------------------
 
@@ -126,6 +133,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_clusters": p7_clusters,
+    "p7_typical": p7_typical,
     "p8_containers": p8_containers,
     "p8_report": p8_report,
     "p9_mixture": p9_mixture,
@@ -133,4 +141,4 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_segments": p10_segments,
 }
-SQL: dict[str, str] = {"p6_found": P6_SQL, "p7_found": P7_SQL}
+SQL: dict[str, str] = {"p6_found": P6_SQL, "p7_found": P7_SQL, "p7_clusters": _P7 + "SELECT root AS cluster, count(*) AS n FROM m GROUP BY 1 HAVING count(*) >= 3"}

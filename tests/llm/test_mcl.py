@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from minespark.llm import mcl
@@ -105,7 +106,7 @@ def test_markov_against_dense_matrices(spark):
     edges = [(a, b, rng.choice([0.5, 1.0, 2.0])) for g in range(4) for a in range(g * 6, g * 6 + 6) for b in range(a + 1, g * 6 + 6) if rng.random() < 0.8] + [(5, 6, 0.1), (11, 12, 0.1), (17, 18, 0.1)]
     n = 24
     df = spark.createDataFrame(edges + [(3, 3, 5.0), (None, 1, 1.0)], "a long, b long, w double")
-    parts, flow = mcl.markov_clusters(df)
+    parts, flow = mcl.markov_clusters(df, inflation=2.0, step=0.0, keep=16, jitter=0.0, settled=0.999)
     assert {r.node: r.attractor for r in parts.collect()} == numpy_mcl(edges, n)
     sums = flow.groupBy("j").agg(F.sum("w").alias("s"), F.count("*").alias("n")).collect()
     assert all(abs(r.s - 1) < 1e-9 and r.n <= 16 for r in sums)
@@ -116,3 +117,41 @@ def test_a_hub_joined_to_a_third_of_all_nodes(spark):
     edges = [(0, i, 1.0) for i in range(1, 300)] + [(i, i + 1, 1.0) for i in range(400, 900, 2)]
     parts, _ = mcl.markov_clusters(spark.createDataFrame(edges, "a long, b long, w double"))
     assert parts.count() == len({x for a, b, _ in edges for x in (a, b)})
+
+
+def test_rows_come_from_the_flow(spark, monkeypatch):
+    """Without flow nothing is merged, and that is told."""
+    pts = frame(spark, {i: (i * 0.9, 0.0) for i in range(12)})
+    assert got(pts) == {0: set(range(12))}
+
+    def alone(edges, *a, **k):
+        nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        return nodes.withColumn("attractor", F.col("node")), nodes.select(F.col("node").alias("i"), F.col("node").alias("j"), F.lit(1.0).alias("w"))
+
+    monkeypatch.setattr(mcl, "markov_clusters", alone)
+    with pytest.raises(RuntimeError, match="without a merger"):
+        got(pts)
+
+
+def test_far_points_and_names_of_cells(spark):
+    pts = {1: (6e8, 0.0), 2: (6e8 + 0.5, 0.0), 3: (6e8 + 1, 0.5), 4: (-6e12, 3.0), 5: (-6e12, 3.5), 6: (-6e12, 4.25), 7: (0.0, 0.0)}
+    assert got(frame(spark, pts)) == {1: {1, 2, 3}, 4: {4, 5, 6}}
+    with pytest.raises(Exception, match="too large"):
+        got(frame(spark, {1: (1e30, 0.0)}))
+
+
+def test_even_rings_chains_and_stars_end_whole(spark):
+    ring = [(i, (i + 1) % 64, 1.0, 1.0) for i in range(64)]
+    chain = [(i, i + 1, 1.0, 1.0) for i in range(100, 250)]
+    star = [(300, i, 1.0, 1.0) for i in range(301, 400)]
+    full = [(i, j, 1.0, 1.0) for i in range(500, 530) for j in range(i)  if j >= 500]
+    names, _ = mcl.nested_clusters(spark.createDataFrame(ring + chain + star + full, "a long, b long, w double, v double"))
+    groups = {}
+    for r in names.collect():
+        groups.setdefault(r.cluster, set()).add(r.node)
+    assert sorted(map(sorted, groups.values())) == [list(range(64)), list(range(100, 251)), list(range(300, 400)), list(range(500, 530))]
+
+
+def test_flow_that_does_not_settle_is_told(spark):
+    with pytest.raises(RuntimeError, match="not settled"):
+        mcl.markov_clusters(spark.createDataFrame([(i, i + 1, 1.0) for i in range(20)], "a long, b long, w double"), max_rounds=1)
