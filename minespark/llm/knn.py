@@ -1,12 +1,16 @@
 """The k most similar vectors of every vector, by a hierarchical k-means tree.
 
-A tree of k-means splits is fitted on a bounded sample; every vector is put
-into one of its leaves, and each leaf gets the bounding box of all its vectors.
-A query is searched in its own bin (and block) first, which bounds the distance
-of its k-th neighbour.  In one pass it then visits all bins whose boxes are
-within that bound, which is exact.  There is no queue of bins, and the bound is
-not tightened on the way.  For a recall below 1 only the nearest of these bins
-are visited, as many as a calibration against brute force found necessary.
+A tree of k-means splits is fitted on a bounded sample, and leaves that turn
+out too large are fitted again, all at once and each on a sample of its own.
+Every vector is put into one of the leaves, and each leaf gets the bounding box
+of all its vectors.  A query is searched in its own bin first.  Then it goes on
+best bin first: a priority queue over the boxes of the tree's nodes yields the
+bins in the order of their distance, a number of them is visited, the distance
+of the k-th neighbour found so far tightens the bound, and the search widens,
+twice as many bins each time, until the nearest box left is farther than that
+bound, which is exact.  How many bins are visited at first is calibrated
+against brute force; for a recall below 1 the search ends with the number that
+the calibration found necessary for it.
 
 Leaves that follow each other in the tree are shipped together as bins of some
 hundred vectors; a bin too large for one task is cut into blocks, and so are
@@ -17,19 +21,22 @@ comes first.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from minespark.operators.neighbours import nearest
 from minespark.operators.rows import skew_join
-from minespark.scratch import materialize
+from minespark.scratch import materialize, release
 
-SAMPLE_ROWS = 20_000  # the tree is fitted on at most so many vectors
-LEAF_ROWS = 24  # wanted vectors in a leaf; the sample allows at most SAMPLE_ROWS / 5 leaves
+SAMPLE_ROWS = 20_000  # the tree, and the new tree of a leaf that is too large, are fitted on at most so many vectors
+LEAF_ROWS = 24  # wanted vectors in a leaf
+MAX_LEAVES = 65_536  # of the whole tree, which is broadcast; beyond so many times LEAF_ROWS vectors leaves grow
 BIN_ROWS = 512  # wanted vectors in a bin
 BLOCK_ROWS = 4096  # most vectors of a bin, and most queries, in one task's group (in expectation)
 EPS = 1e-9
@@ -84,57 +91,82 @@ class Tree:
             todo += [(kid, idx[a == i]) for i, kid in enumerate(kids)]
         return out
 
-    def bounds(self, q: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, bin, squared distance of the bin's nearest box) wherever that is at most the query's ``limit``.
+    def next_bins(self, q: np.ndarray, limit: np.ndarray, home: np.ndarray, done: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, bin): the next ``width`` bins of each query after the first ``done``, nearest box first, ``home`` left out, none beyond ``limit``.
 
-        Queries of one home leaf go down the tree together, as the box around
-        them with their greatest limit; only at the leaves each is bounded by itself.
+        Each query has a priority queue of nodes by the distance of their boxes.
+        The nearest node is taken out; an inner one is replaced by its children,
+        a leaf tells the next bin.  The queues of all queries step together.
         """
         lo, hi, first, count, kids, leaf = self._node_boxes()
-        z = np.zeros(0, dtype=np.int64)
-        if not len(q):
-            return z, z, np.zeros(0)
-        home = self.assign(q)
-        order = np.argsort(home, kind="stable")
-        x, lim = q[order], limit[order]
-        start = np.flatnonzero(np.append(True, np.diff(home[order]) != 0))
-        end = np.append(start[1:], len(x))
-        glo, ghi, glim = np.minimum.reduceat(x, start), np.maximum.reduceat(x, start), np.maximum.reduceat(lim, start)
-        gi, ni = np.arange(len(start)), np.zeros(len(start), dtype=np.int64)
-        found = [(z, z)]
-        while len(gi):
-            gap = np.maximum(np.maximum(lo[ni] - ghi[gi], glo[gi] - hi[ni]), 0)
-            ok = np.einsum("ij,ij->i", gap, gap) <= glim[gi]
-            gi, ni = gi[ok], ni[ok]
-            at = leaf[ni] >= 0
-            found.append((gi[at], leaf[ni[at]]))
-            gi, ni = gi[~at], ni[~at]
-            n = count[ni]
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            gi, ni = np.repeat(gi, n), kids[np.repeat(first[ni], n) + step]
-        gi, li = (np.concatenate(v) for v in zip(*found))
-        by = np.argsort(gi, kind="stable")
-        gi, li = gi[by], li[by]
-        cut = np.searchsorted(gi, np.arange(len(start) + 1))
-        out = [(z, z, np.zeros(0))]
-        for g in range(len(start)):
-            leaves = li[cut[g] : cut[g + 1]]
-            if not len(leaves):
-                continue
-            low, high = self.low[leaves], self.high[leaves]
-            rows = max(1, 2_000_000 // (len(leaves) * x.shape[1]))
-            for i in range(start[g], end[g], rows):
-                j = min(end[g], i + rows)
-                gap = np.maximum(np.maximum(low[None] - x[i:j, None], x[i:j, None] - high[None]), 0)
-                d = np.einsum("qld,qld->ql", gap, gap)
-                r, c = np.nonzero(d <= lim[i:j, None])
-                out.append((order[i + r], self.bins[leaves[c]], d[r, c]))
-        a, b, c = (np.concatenate(v) for v in zip(*out))
-        order = np.lexsort((c, b, a))
-        a, b, c = a[order], b[order], c[order]
-        one = np.ones(len(a), dtype=bool)
-        one[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return a[one], b[one], c[one]
+        found: list = []
+        n_bins = int(self.bins.max()) + 1
+        rows = max(1, 16_000_000 // n_bins)
+        for at in range(0, len(q), rows):
+            idx = np.arange(at, min(len(q), at + rows))
+            idx = idx[width[idx] > 0]
+            seen = np.zeros((len(idx), n_bins), dtype=bool)
+            seen[np.arange(len(idx)), home[idx]] = True
+            left = width[idx].copy()
+            skip = done[idx].copy()
+            queue = np.zeros((len(idx), 1), dtype=np.int64)
+            dist = np.zeros((len(idx), 1))
+            row = np.arange(len(idx))  # of ``seen``
+            while len(idx):
+                here = np.arange(len(idx))
+                top = dist.argmin(1)
+                d, node = dist[here, top], queue[here, top]
+                dist[here, top] = np.inf
+                on = d <= limit[idx]
+                at_leaf = on & (leaf[node] >= 0)
+                hit = np.flatnonzero(at_leaf)
+                bins = self.bins[leaf[node[hit]]]
+                new = ~seen[row[hit], bins]
+                hit, bins = hit[new], bins[new]
+                seen[row[hit], bins] = True
+                told = skip[hit] <= 0
+                found.append((idx[hit[told]], bins[told]))
+                left[hit[told]] -= 1
+                skip[hit[~told]] -= 1
+                inner = np.flatnonzero(on & ~at_leaf)
+                if len(inner):
+                    most = int(count[node[inner]].max())
+                    step = np.arange(most)
+                    there = step < count[node[inner]][:, None]
+                    child = kids[np.where(there, first[node[inner]][:, None] + step, 0)]
+                    x = q[idx[inner]][:, None]
+                    gap = np.maximum(np.maximum(lo[child] - x, x - hi[child]), 0)
+                    near = np.where(there, np.einsum("qcd,qcd->qc", gap, gap), np.inf)
+                    more, far = np.zeros((len(idx), most), dtype=np.int64), np.full((len(idx), most), np.inf)
+                    more[inner], far[inner] = child, np.where(near <= limit[idx[inner]][:, None], near, np.inf)
+                    queue, dist = np.concatenate([queue, more], 1), np.concatenate([dist, far], 1)
+                keep = on & (left > 0)
+                if not keep.all():
+                    idx, row, left, skip, queue, dist = idx[keep], row[keep], left[keep], skip[keep], queue[keep], dist[keep]
+                used = np.isfinite(dist).any(0)
+                if used.sum() * 2 < dist.shape[1]:  # places that no query uses any more
+                    queue, dist = queue[:, used], dist[:, used]
+                    if not dist.shape[1]:
+                        break
+                if len(idx) and dist.shape[1] > 256:  # the places in use move to the front
+                    order = np.argsort(dist, axis=1, kind="stable")
+                    most = int(np.isfinite(dist).sum(1).max(initial=0)) or 1
+                    queue, dist = np.take_along_axis(queue, order[:, :most], 1), np.take_along_axis(dist, order[:, :most], 1)
+        if not found:
+            z = np.zeros(0, dtype=np.int64)
+            return z, z
+        return tuple(np.concatenate(v) for v in zip(*found))
+
+    def box_order(self, q: np.ndarray) -> np.ndarray:
+        """For each query all bins, nearest box first: the order in which a queue without a bound yields them."""
+        n_bins = int(self.bins.max()) + 1
+        out = np.empty((len(q), n_bins), dtype=np.int64)
+        for i, x in enumerate(q):
+            gap = np.maximum(np.maximum(self.low - x, x - self.high), 0)
+            best = np.full(n_bins, np.inf)
+            np.minimum.at(best, self.bins, np.einsum("ld,ld->l", gap, gap))
+            out[i] = np.argsort(best, kind="stable")
+        return out
 
     def _node_boxes(self):
         """Boxes of all nodes, and their children as (first, count) into one list."""
@@ -218,17 +250,67 @@ def distinct_vectors(vectors: DataFrame, vid: str, vec: str, keep: int) -> DataF
     return ids.join(n, ["_h", vec]).select("_h", F.element_at("ids", 1).alias("rep"), F.col(vec).alias("v"), "ids", "n")
 
 
-def build_tree(vecs: DataFrame, n: int, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS) -> Tree:
-    """A tree fitted on at most ``sample_rows`` vectors picked by hash."""
-    share = min(1.0, sample_rows / max(1, n))
+def build_tree(vecs: DataFrame, n: int) -> tuple[Tree, DataFrame]:
+    """The tree, and the vectors with their leaf.
+
+    Fitted on at most SAMPLE_ROWS vectors picked by hash; then every leaf with
+    more than four times the wanted vectors is fitted again on at most
+    SAMPLE_ROWS of its own, all of them in parallel, until none is left or no
+    fit divides any further.
+    """
+    share = min(1.0, SAMPLE_ROWS / max(1, n))
     pick = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    got = vecs.filter(pick).select("rep", "v").limit(sample_rows).toPandas().sort_values("rep")
+    got = vecs.filter(pick).select("rep", "v").limit(SAMPLE_ROWS).toPandas().sort_values("rep")
     x = _matrix(got["v"])
-    return fit_tree(x, max(5, int(leaf_rows * len(x) / max(1, n))))
+    wanted = max(LEAF_ROWS, -(-n // MAX_LEAVES))
+    tree = fit_tree(x, max(5, int(wanted * len(x) / max(1, n))))
+    for _ in range(4):
+        placed = put_into_leaves(vecs, tree)
+        sizes = placed.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * wanted).collect()  # at most MAX_LEAVES rows
+        big = {r["leaf"]: r["n"] for r in sizes}
+        grown = _refit(placed, tree, big, wanted) if big else 0
+        if not grown:
+            return tree, placed
+        tree.flat = None
+        release(placed)
+    return tree, put_into_leaves(vecs, tree)
+
+
+def _refit(placed: DataFrame, tree: Tree, big: dict[int, int], wanted: int) -> int:
+    """Hang new subtrees into the leaves ``big`` (leaf and size); returns how many leaves were divided."""
+    spark = placed.sparkSession
+    rates = spark.createDataFrame([(int(k), int(min(1.0, SAMPLE_ROWS / v) * (1 << 30)), float(wanted * min(1.0, SAMPLE_ROWS / v))) for k, v in big.items()], "leaf bigint, most bigint, rows double")
+    own = placed.join(F.broadcast(rates), "leaf").filter(F.pmod(F.xxhash64("rep", F.lit(9)), F.lit(1 << 30)) < F.col("most")).select("leaf", "rows", "rep", "v")  # at most MAX_LEAVES rows
+
+    def fit(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("rep")
+        t = fit_tree(_matrix(b["v"]), max(5, int(b["rows"].iloc[0])))
+        return pd.DataFrame({"leaf": [b["leaf"].iloc[0]], "fit": [pickle.dumps((t.centers, t.children, t.leaf_no))]})
+
+    divided = 0
+    node_of = {v: i for i, v in enumerate(tree.leaf_no) if v >= 0}
+    for r in sorted(own.groupBy("leaf").applyInPandas(fit, "leaf bigint, fit binary").collect(), key=lambda r: r["leaf"]):  # the tree itself, at most MAX_LEAVES leaves or so
+        centers, children, leaf_no = pickle.loads(r["fit"])
+        if len(leaf_no) == 1:
+            continue
+        divided += 1
+        at, base = node_of[r["leaf"]], len(tree.leaf_no) - 1
+        tree.centers[at], tree.children[at], tree.leaf_no[at] = centers[0], [base + c for c in children[0]], -1
+        tree.centers += centers[1:]
+        tree.children += [[base + c for c in k] for k in children[1:]]
+        tree.leaf_no += leaf_no[1:]
+    todo, no = [0], 0
+    while todo:  # leaves numbered depth first, so those that follow each other are near
+        i = todo.pop()
+        if tree.children[i]:
+            todo += reversed(tree.children[i])
+        else:
+            tree.leaf_no[i], no = no, no + 1
+    return divided
 
 
 def put_into_leaves(vecs: DataFrame, tree: Tree) -> DataFrame:
-    shared = vecs.sparkSession.sparkContext.broadcast(tree)  # at most SAMPLE_ROWS / 5 leaves
+    shared = vecs.sparkSession.sparkContext.broadcast(tree)  # at most MAX_LEAVES leaves or so
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -290,8 +372,7 @@ def knn(vectors: DataFrame, vid: str, vec: str, k: int = 5, recall: float = 1.0,
     n = vecs.count()
     if n == 0:
         return spark.createDataFrame([], "id bigint, neighbours array<struct<d2:double,id:bigint>>")
-    tree = build_tree(vecs, n)
-    placed = put_into_leaves(vecs, tree)
+    tree, placed = build_tree(vecs, n)
     tree = measure_leaves(placed, tree, BIN_ROWS, BLOCK_ROWS)
     shared = spark.sparkContext.broadcast(tree)
 
@@ -313,60 +394,72 @@ def knn(vectors: DataFrame, vid: str, vec: str, k: int = 5, recall: float = 1.0,
         tau[r[last]] = d[last]
         tau[~full] = np.inf
         near = _lists(r, c, d, b["ids"].to_numpy(), len(x))
-        return pd.DataFrame({"bin": b["bin"], "block": b["block"], "rep": reps, "v": b["v"], "tau": tau, "near": near})
+        return pd.DataFrame({"bin": b["bin"], "block": b["block"], "rep": reps, "v": b["v"], "tau": tau, "near": near, "done": -1})
 
-    first = materialize(
-        data.groupBy("bin", "block").applyInPandas(own_bin, "bin bigint, block bigint, rep bigint, v array<double>, tau double, near array<struct<d2:double,ids:array<bigint>>>")
-    )
-    visits = None if recall >= 1 else calibrate(first, data, tree, k, recall, calibration_rows)
+    near_type = "array<struct<d2:double,ids:array<bigint>>>"
+    state_type = f"bin bigint, block bigint, rep bigint, v array<double>, tau double, near {near_type}, done bigint"
+    state = materialize(data.groupBy("bin", "block").applyInPandas(own_bin, state_type))
+    first = calibrate(state, data, tree, k, min(recall, 0.9) if recall >= 1 else recall, calibration_rows)
+    most = int(tree.bins.max()) + 1 if recall >= 1 else first
 
-    def route(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def route(batches: Iterable[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
         t = shared.value
         for b in batches:
-            for i in range(0, len(b), 10_000):
-                s = b.iloc[i : i + 10_000]
-                if not len(s):
-                    continue
-                q, g, d = t.bounds(_matrix(s["v"]), s["tau"].to_numpy() + EPS)
-                if visits is not None:  # the nearest bins first, no more than calibrated
-                    order = np.lexsort((g, d, q))
+            for i in range(0, len(b), 5_000):
+                s = b.iloc[i : i + 5_000].reset_index(drop=True)
+                done = s["done"].to_numpy()
+                q, g = t.next_bins(_matrix(s["v"]), s["tau"].to_numpy() + EPS, s["bin"].to_numpy(), np.maximum(done, 0), np.minimum(width, most - np.maximum(done, 0)))
+                order = np.argsort(q, kind="stable")
+                q, g = q[order], g[order]
+                n_bins = np.bincount(q, minlength=len(s))
+                if (done < 0).any():  # at first also the other blocks of the own bin
+                    own = np.flatnonzero((done < 0) & (t.blocks[s["bin"].to_numpy()] > 1))
+                    q, g = np.append(q, own), np.append(g, s["bin"].to_numpy()[own])
+                    order = np.argsort(q, kind="stable")
                     q, g = q[order], g[order]
-                    on = np.arange(len(q)) - np.searchsorted(q, q, side="left") < visits
-                    q, g = q[on], g[on]
                 rep = t.blocks[g]
                 q, g = np.repeat(q, rep), np.repeat(g, rep)
                 blk = np.arange(len(g)) - np.repeat(np.cumsum(rep) - rep, rep)
                 other = (g != s["bin"].to_numpy()[q]) | (blk != s["block"].to_numpy()[q])
                 q, g, blk = q[other], g[other], blk[other]
                 cut = np.searchsorted(q, np.arange(1, len(s)))
-                yield pd.DataFrame({"rep": s["rep"], "tau": s["tau"], "v": s["v"], "bins": np.split(g, cut), "blocks": np.split(blk, cut)})
-
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # routing is much work on few bytes; neighbouring queries stay together
-    schema = "rep bigint, tau double, v array<double>, bins array<bigint>, blocks array<bigint>"
-    routed = first.select("bin", "block", "rep", "v", "tau").repartitionByRange(spread, "bin", "rep").sortWithinPartitions("bin").mapInPandas(route, schema)
-    routed = materialize(routed.select("rep", "tau", "v", F.explode(F.arrays_zip("bins", "blocks")).alias("x")).select(F.col("x.bins").alias("bin"), F.col("x.blocks").alias("block"), "rep", "tau", "v"))
-    per = routed.groupBy("bin", "block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("bigint").alias("parts"))  # one row a bin and block
-    queries = routed.join(per, ["bin", "block"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).drop("parts")
-    points = data.join(per, ["bin", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+                yield s.assign(done=np.maximum(done, 0) + n_bins, bins=pd.Series(np.split(g, cut), dtype=object), blocks=pd.Series(np.split(blk, cut), dtype=object))
 
     def visit(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
-            return pd.DataFrame({"rep": [], "near": []})
+            return pd.DataFrame({"rep": pd.Series([], dtype="int64"), "near": pd.Series([], dtype=object)})
         r, c, d = nearest_in_block(_matrix(q["v"]), q["tau"].to_numpy(), _matrix(p["v"]), p["rep"].to_numpy(), k + 1)
         near = _lists(r, c, d, p["ids"].to_numpy(), len(q))
         on = [i for i, x in enumerate(near) if x]
-        return pd.DataFrame({"rep": q["rep"].to_numpy()[on], "near": [near[i] for i in on]})
+        return pd.DataFrame({"rep": q["rep"].to_numpy()[on], "near": pd.Series([near[i] for i in on], dtype=object)})
 
-    keys = ["bin", "block", "part"]
-    second = queries.groupBy(*keys).cogroup(points.groupBy(*keys)).applyInPandas(visit, "rep bigint, near array<struct<d2:double,ids:array<bigint>>>")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # routing is much work on few bytes; neighbouring queries stay together
+    found = []
+    width, moving = first, state.repartitionByRange(spread, "bin", "rep").sortWithinPartitions("bin")
+    while True:
+        seen = Observation()
+        routed = moving.mapInPandas(lambda batches, w=width: route(batches, w), f"{state_type}, bins array<bigint>, blocks array<bigint>")
+        routed = materialize(routed.observe(seen, F.count_if(F.size("bins") > 0).alias("open")))
+        found.append(routed.filter(F.size("bins") == 0).select("rep", "near"))
+        if not seen.get.get("open"):
+            break
+        going = routed.filter(F.size("bins") > 0)
+        visits = going.select("rep", "tau", "v", F.explode(F.arrays_zip("bins", "blocks")).alias("x")).select(F.col("x.bins").alias("bin"), F.col("x.blocks").alias("block"), "rep", "tau", "v")
+        per = visits.groupBy("bin", "block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("bigint").alias("parts"))  # one row a bin and block
+        queries = visits.join(per, ["bin", "block"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).drop("parts")
+        points = data.join(per, ["bin", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+        keys = ["bin", "block", "part"]
+        hits = queries.groupBy(*keys).cogroup(points.groupBy(*keys)).applyInPandas(visit, f"rep bigint, near {near_type}")
+        hits = hits.groupBy("rep").agg(F.flatten(F.collect_list("near")).alias("more"))  # at most k + 1 a visited block
+        merged = going.drop("bins", "blocks").join(hits, "rep", "left").withColumn("near", F.slice(F.array_sort(F.concat("near", F.coalesce("more", F.array().cast(near_type)))), 1, k + 1)).drop("more")
+        tau = F.when(F.size("near") == k + 1, F.least("tau", F.element_at("near", -1)["d2"])).otherwise(F.col("tau"))
+        moving = merged.withColumn("tau", tau).select("bin", "block", "rep", "v", "tau", "near", "done")
+        width *= 2
     each = F.expr("flatten(transform(near, x -> transform(x.ids, i -> named_struct('d2', x.d2, 'id', i))))")
-    merged = (
-        first.select("rep", "near")
-        .unionByName(second)
-        .select("rep", each.alias("near"))
-        .groupBy("rep")
-        .agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))  # at most (k + 1)^2 a visited block
-    )
+    merged = found[0]
+    for x in found[1:]:
+        merged = merged.unionByName(x)
+    merged = merged.select("rep", F.slice(F.array_sort(each), 1, k + 1).alias("near"))
     small = vecs.filter(F.col("n") <= k + 1).select("rep", F.explode("ids").alias("id"))
     big = vecs.filter(F.col("n") > k + 1).select("_h", "v", "rep")
     members = skew_join(vectors.select(F.col(vid).alias("id"), F.col(vec).alias("_v"), F.xxhash64(vec).alias("_h")), big, "_h").filter(F.col("_v") == F.col("v")).select("rep", "id")
@@ -375,6 +468,16 @@ def knn(vectors: DataFrame, vid: str, vec: str, k: int = 5, recall: float = 1.0,
     return out.select("id", F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k).alias("neighbours"))
 
 
+def measured_recall(near: DataFrame, vectors: DataFrame, vid: str, vec: str, queries, k: int = 5) -> DataFrame:
+    """One row: n_queries, n_true and n_found, the true neighbours of the ``queries`` (a condition on the ids), set against all vectors, and those among ``near``."""
+    asked = vectors.filter(queries)
+    true = nearest(asked, vectors, vid, vec, k).select("query", "neighbour")
+    got = near.select(F.col("id").alias("query"), F.explode("neighbours.id").alias("neighbour"), F.lit(1).alias("_hit"))
+    both = true.join(got, ["query", "neighbour"], "left")
+    n = asked.agg(F.count("*").alias("n_queries"))
+    return both.agg(F.count("*").alias("n_true"), F.count("_hit").alias("n_found")).join(n, how="inner")  # one row each
+
+
 def _lists(r: np.ndarray, c: np.ndarray, d: np.ndarray, ids: np.ndarray, n: int) -> list:
     out: list = [[] for _ in range(n)]
     for i, j, x in zip(r.tolist(), c.tolist(), d.tolist()):
@@ -382,13 +485,13 @@ def _lists(r: np.ndarray, c: np.ndarray, d: np.ndarray, ids: np.ndarray, n: int)
     return out
 
 
-def calibrate(first: DataFrame, data: DataFrame, tree: Tree, k: int, recall: float, rows: int) -> int:
+def calibrate(state: DataFrame, data: DataFrame, tree: Tree, k: int, recall: float, rows: int) -> int:
     """How many bins, nearest first, the queries of a sample must visit to find ``recall`` of their true neighbours.
 
     The sample of at most ``rows`` queries is set against all vectors by brute force.
     """
-    n = max(1, first.count())
-    got = first.filter(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 30)) < F.lit(int(min(1.0, rows / n) * (1 << 30)))).select("rep", "v").limit(rows).toPandas()
+    n = max(1, state.count())
+    got = state.filter(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 30)) < F.lit(int(min(1.0, rows / n) * (1 << 30)))).select("rep", "v").limit(rows).toPandas()
     if not len(got):
         return 1
     q = _matrix(got["v"])
@@ -402,12 +505,8 @@ def calibrate(first: DataFrame, data: DataFrame, tree: Tree, k: int, recall: flo
 
     w = Window.partitionBy("q").orderBy("d2", "rep")
     true = data.select("bin", "rep", "v").mapInPandas(scan, "q bigint, d2 double, rep bigint, bin bigint").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k + 1).toPandas()
-    a, b, d = tree.bounds(q, np.full(len(q), np.inf))
-    order = np.lexsort((b, d, a))
-    rank = {}
-    seen: dict = {}
-    for i in order:
-        seen[a[i]] = seen.get(a[i], 0) + 1
-        rank[a[i], b[i]] = seen[a[i]]
-    need = np.sort([rank[x] for x in zip(true["q"], true["bin"])])
-    return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)])
+    rank = np.argsort(tree.box_order(q), axis=1)
+    home = tree.bins[tree.assign(q)]
+    i, b = true["q"].to_numpy(), true["bin"].to_numpy()
+    need = np.sort(np.where(b == home[i], 0, rank[i, b] + 1))  # bins besides the own one
+    return max(1, int(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)]))

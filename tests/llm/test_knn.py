@@ -70,6 +70,46 @@ def test_boxes_bound_all_members():
     np.minimum.at(t.low, leaf, x)
     np.maximum.at(t.high, leaf, x)
     t.bins = np.arange(t.leaves)
-    q, b, d = t.bounds(x[:20], np.full(20, 0.5))
-    near = {(i, leaf[j]) for i in range(20) for j in range(500) if ((x[i] - x[j]) ** 2).sum() <= 0.5}
+    home = np.full(20, leaf[0])
+    q, b = t.next_bins(x[:20], np.full(20, 0.5), home, np.zeros(20, dtype=int), np.full(20, 1000))
+    near = {(i, leaf[j]) for i in range(20) for j in range(500) if leaf[j] != leaf[0] and ((x[i] - x[j]) ** 2).sum() <= 0.5}
     assert near <= set(zip(q.tolist(), b.tolist()))
+
+
+def test_the_queue_yields_bins_by_distance():
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (3000, 4))
+    t = knn.fit_tree(x, 10)
+    leaf = t.assign(x)
+    t.low, t.high = np.full((t.leaves, 4), np.inf), np.full((t.leaves, 4), -np.inf)
+    np.minimum.at(t.low, leaf, x)
+    np.maximum.at(t.high, leaf, x)
+    t.bins = np.arange(t.leaves) // 3
+    q, home = rng.normal(0, 2, (50, 4)), rng.integers(0, t.bins.max() + 1, 50)
+    gap = np.maximum(np.maximum(t.low[None] - q[:, None], q[:, None] - t.high[None]), 0)
+    box = (gap**2).sum(2)
+    best = np.array([[box[i, t.bins == b].min() for b in range(t.bins.max() + 1)] for i in range(50)])
+    got: dict = {i: [] for i in range(50)}
+    limit = np.quantile(best, 0.7, axis=1)
+    for done, width in ((0, 2), (2, 5), (7, 100_000)):  # in three rounds, each going on where the last one ended
+        for i, b in zip(*t.next_bins(q, limit, home, np.full(50, done), np.full(50, width))):
+            got[int(i)].append(int(b))
+    for i in range(50):
+        want = [b for b in range(best.shape[1]) if b != home[i] and best[i, b] <= limit[i]]
+        assert sorted(got[i]) == want and np.all(np.diff(best[i, got[i]]) >= 0)
+    assert np.all(np.diff(np.take_along_axis(best, t.box_order(q), 1), axis=1) >= 0)
+
+
+def test_large_leaves_are_fitted_again(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SAMPLE_ROWS", 200)
+    monkeypatch.setattr(knn, "LEAF_ROWS", 10)
+    monkeypatch.setattr(knn, "BIN_ROWS", 60)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 1, (2500, 3)), rng.normal(40, 0.01, (500, 3))])
+    ids = rng.permutation(3000)
+    df = frame(spark, ids, x)
+    vecs = knn.distinct_vectors(df.select("id", "v"), "id", "v", 6)
+    tree, placed = knn.build_tree(vecs, 3000)
+    sizes = [r["count"] for r in placed.groupBy("leaf").count().collect()]
+    assert tree.leaves > 3000 / 40 and max(sizes) <= 60 and sorted(v for v in tree.leaf_no if v >= 0) == list(range(tree.leaves))
+    assert result(df, k=5) == brute(ids.tolist(), x, 5)
