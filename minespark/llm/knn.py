@@ -91,8 +91,8 @@ class Tree:
             todo += [(kid, idx[a == i]) for i, kid in enumerate(kids)]
         return out
 
-    def next_bins(self, q: np.ndarray, limit: np.ndarray, home: np.ndarray, done: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, bin): the next ``width`` bins of each query after the first ``done``, nearest box first, ``home`` left out, none beyond ``limit``.
+    def next_bins(self, q: np.ndarray, limit: np.ndarray, visited: list[np.ndarray], width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, bin): the next ``width`` bins of each query besides those ``visited``, nearest box first, none beyond ``limit``.
 
         Each query has a priority queue of nodes by the distance of their boxes.
         The nearest node is taken out; an inner one is replaced by its children,
@@ -101,57 +101,59 @@ class Tree:
         lo, hi, first, count, kids, leaf = self._node_boxes()
         found: list = []
         n_bins = int(self.bins.max()) + 1
+        bin_of = np.where(leaf >= 0, self.bins[np.maximum(leaf, 0)], -1)
+        step = np.arange(int(count.max(initial=1)))
         rows = max(1, 16_000_000 // n_bins)
         for at in range(0, len(q), rows):
             idx = np.arange(at, min(len(q), at + rows))
             idx = idx[width[idx] > 0]
+            x, lim, left = q[idx], limit[idx], width[idx].copy()
             seen = np.zeros((len(idx), n_bins), dtype=bool)
-            seen[np.arange(len(idx)), home[idx]] = True
-            left = width[idx].copy()
-            skip = done[idx].copy()
-            queue = np.zeros((len(idx), 1), dtype=np.int64)
-            dist = np.zeros((len(idx), 1))
+            for i, j in enumerate(idx):
+                seen[i, visited[j]] = True
             row = np.arange(len(idx))  # of ``seen``
+            queue, dist, size = np.zeros((len(idx), 16), dtype=np.int32), np.full((len(idx), 16), np.inf), np.ones(len(idx), dtype=np.int64)
+            dist[:, 0] = 0.0
             while len(idx):
-                here = np.arange(len(idx))
-                top = dist.argmin(1)
-                d, node = dist[here, top], queue[here, top]
-                dist[here, top] = np.inf
-                on = d <= limit[idx]
-                at_leaf = on & (leaf[node] >= 0)
-                hit = np.flatnonzero(at_leaf)
-                bins = self.bins[leaf[node[hit]]]
-                new = ~seen[row[hit], bins]
-                hit, bins = hit[new], bins[new]
-                seen[row[hit], bins] = True
-                told = skip[hit] <= 0
-                found.append((idx[hit[told]], bins[told]))
-                left[hit[told]] -= 1
-                skip[hit[~told]] -= 1
-                inner = np.flatnonzero(on & ~at_leaf)
+                here, most = np.arange(len(idx)), int(size.max())
+                top = dist[:, :most].argmin(1)
+                node = queue[here, top].astype(np.int64)
+                on = size > 0
+                end = np.maximum(size - 1, 0)  # the last one takes the place of the one taken out
+                queue[here, top], dist[here, top] = queue[here, end], dist[here, end]
+                dist[here, end] = np.inf
+                size = end
+                b = bin_of[node]
+                hit = np.flatnonzero(on & (b >= 0))
+                hit = hit[~seen[row[hit], b[hit]]]
+                seen[row[hit], b[hit]] = True
+                found.append((idx[hit], b[hit]))
+                left[hit] -= 1
+                inner = np.flatnonzero(on & (b < 0))
                 if len(inner):
-                    most = int(count[node[inner]].max())
-                    step = np.arange(most)
-                    there = step < count[node[inner]][:, None]
-                    child = kids[np.where(there, first[node[inner]][:, None] + step, 0)]
-                    x = q[idx[inner]][:, None]
-                    gap = np.maximum(np.maximum(lo[child] - x, x - hi[child]), 0)
-                    near = np.where(there, np.einsum("qcd,qcd->qc", gap, gap), np.inf)
-                    more, far = np.zeros((len(idx), most), dtype=np.int64), np.full((len(idx), most), np.inf)
-                    more[inner], far[inner] = child, np.where(near <= limit[idx[inner]][:, None], near, np.inf)
-                    queue, dist = np.concatenate([queue, more], 1), np.concatenate([dist, far], 1)
-                keep = on & (left > 0)
-                if not keep.all():
-                    idx, row, left, skip, queue, dist = idx[keep], row[keep], left[keep], skip[keep], queue[keep], dist[keep]
-                used = np.isfinite(dist).any(0)
-                if used.sum() * 2 < dist.shape[1]:  # places that no query uses any more
-                    queue, dist = queue[:, used], dist[:, used]
-                    if not dist.shape[1]:
-                        break
-                if len(idx) and dist.shape[1] > 256:  # the places in use move to the front
-                    order = np.argsort(dist, axis=1, kind="stable")
-                    most = int(np.isfinite(dist).sum(1).max(initial=0)) or 1
-                    queue, dist = np.take_along_axis(queue, order[:, :most], 1), np.take_along_axis(dist, order[:, :most], 1)
+                    n = node[inner]
+                    i, c = np.nonzero(step < count[n][:, None])
+                    who, child = inner[i], kids[first[n[i]] + c]
+                    new = (bin_of[child] < 0) | ~seen[row[who], bin_of[child]]
+                    who, child = who[new], child[new]
+                    y = x[who]
+                    gap = np.maximum(np.maximum(lo[child] - y, y - hi[child]), 0)
+                    d = np.einsum("cd,cd->c", gap, gap)
+                    near = d <= lim[who]
+                    who, child, d = who[near], child[near], d[near]
+                    place = size[who] + np.arange(len(who)) - np.searchsorted(who, who, side="left")
+                    if len(place) and place.max() >= dist.shape[1]:
+                        more = (len(idx), int(place.max()))
+                        queue, dist = np.concatenate([queue, np.zeros(more, dtype=np.int32)], 1), np.concatenate([dist, np.full(more, np.inf)], 1)
+                    queue[who, place], dist[who, place] = child, d
+                    size = size + np.bincount(who, minlength=len(idx))
+                keep = (size > 0) & (left > 0)
+                if keep.sum() <= 0.8 * len(idx):
+                    idx, row, left, size, x, lim = idx[keep], row[keep], left[keep], size[keep], x[keep], lim[keep]
+                    queue, dist = queue[keep], dist[keep]
+                elif not keep.all():
+                    size[~keep] = 0  # rests until the arrays are cut
+                    dist[~keep] = np.inf
         if not found:
             z = np.zeros(0, dtype=np.int64)
             return z, z
@@ -394,10 +396,10 @@ def knn(vectors: DataFrame, vid: str, vec: str, k: int = 5, recall: float = 1.0,
         tau[r[last]] = d[last]
         tau[~full] = np.inf
         near = _lists(r, c, d, b["ids"].to_numpy(), len(x))
-        return pd.DataFrame({"bin": b["bin"], "block": b["block"], "rep": reps, "v": b["v"], "tau": tau, "near": near, "done": -1})
+        return pd.DataFrame({"bin": b["bin"], "block": b["block"], "rep": reps, "v": b["v"], "tau": tau, "near": near, "seen": [[]] * len(x)})
 
     near_type = "array<struct<d2:double,ids:array<bigint>>>"
-    state_type = f"bin bigint, block bigint, rep bigint, v array<double>, tau double, near {near_type}, done bigint"
+    state_type = f"bin bigint, block bigint, rep bigint, v array<double>, tau double, near {near_type}, seen array<bigint>"
     state = materialize(data.groupBy("bin", "block").applyInPandas(own_bin, state_type))
     first = calibrate(state, data, tree, k, min(recall, 0.9) if recall >= 1 else recall, calibration_rows)
     most = int(tree.bins.max()) + 1 if recall >= 1 else first
@@ -405,25 +407,25 @@ def knn(vectors: DataFrame, vid: str, vec: str, k: int = 5, recall: float = 1.0,
     def route(batches: Iterable[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
         t = shared.value
         for b in batches:
-            for i in range(0, len(b), 5_000):
-                s = b.iloc[i : i + 5_000].reset_index(drop=True)
-                done = s["done"].to_numpy()
-                q, g = t.next_bins(_matrix(s["v"]), s["tau"].to_numpy() + EPS, s["bin"].to_numpy(), np.maximum(done, 0), np.minimum(width, most - np.maximum(done, 0)))
+            for i in range(0, len(b), 10_000):
+                s = b.iloc[i : i + 10_000].reset_index(drop=True)
+                own, new = s["bin"].to_numpy(), s["seen"].map(len).to_numpy() == 0
+                seen = [[o] if n else v for o, n, v in zip(own, new, s["seen"])]
+                q, g = t.next_bins(_matrix(s["v"]), s["tau"].to_numpy() + EPS, seen, np.minimum(width, most + 1 - np.array([len(v) for v in seen], dtype=np.int64)))
+                order = np.argsort(q, kind="stable")
+                q, g = q[order], g[order]
+                seen = [np.append(v, x) for v, x in zip(seen, np.split(g, np.searchsorted(q, np.arange(1, len(s)))))]
+                again = np.flatnonzero(new & (t.blocks[own] > 1))  # at first also the other blocks of the own bin
+                q, g = np.append(q, again), np.append(g, own[again])
                 order = np.argsort(q, kind="stable")
                 q, g = q[order], g[order]
-                n_bins = np.bincount(q, minlength=len(s))
-                if (done < 0).any():  # at first also the other blocks of the own bin
-                    own = np.flatnonzero((done < 0) & (t.blocks[s["bin"].to_numpy()] > 1))
-                    q, g = np.append(q, own), np.append(g, s["bin"].to_numpy()[own])
-                    order = np.argsort(q, kind="stable")
-                    q, g = q[order], g[order]
                 rep = t.blocks[g]
                 q, g = np.repeat(q, rep), np.repeat(g, rep)
                 blk = np.arange(len(g)) - np.repeat(np.cumsum(rep) - rep, rep)
                 other = (g != s["bin"].to_numpy()[q]) | (blk != s["block"].to_numpy()[q])
                 q, g, blk = q[other], g[other], blk[other]
                 cut = np.searchsorted(q, np.arange(1, len(s)))
-                yield s.assign(done=np.maximum(done, 0) + n_bins, bins=pd.Series(np.split(g, cut), dtype=object), blocks=pd.Series(np.split(blk, cut), dtype=object))
+                yield s.assign(seen=pd.Series(seen, dtype=object), bins=pd.Series(np.split(g, cut), dtype=object), blocks=pd.Series(np.split(blk, cut), dtype=object))
 
     def visit(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
@@ -453,7 +455,7 @@ def knn(vectors: DataFrame, vid: str, vec: str, k: int = 5, recall: float = 1.0,
         hits = hits.groupBy("rep").agg(F.flatten(F.collect_list("near")).alias("more"))  # at most k + 1 a visited block
         merged = going.drop("bins", "blocks").join(hits, "rep", "left").withColumn("near", F.slice(F.array_sort(F.concat("near", F.coalesce("more", F.array().cast(near_type)))), 1, k + 1)).drop("more")
         tau = F.when(F.size("near") == k + 1, F.least("tau", F.element_at("near", -1)["d2"])).otherwise(F.col("tau"))
-        moving = merged.withColumn("tau", tau).select("bin", "block", "rep", "v", "tau", "near", "done")
+        moving = merged.withColumn("tau", tau).select("bin", "block", "rep", "v", "tau", "near", "seen")
         width *= 2
     each = F.expr("flatten(transform(near, x -> transform(x.ids, i -> named_struct('d2', x.d2, 'id', i))))")
     merged = found[0]

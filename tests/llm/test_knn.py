@@ -70,8 +70,7 @@ def test_boxes_bound_all_members():
     np.minimum.at(t.low, leaf, x)
     np.maximum.at(t.high, leaf, x)
     t.bins = np.arange(t.leaves)
-    home = np.full(20, leaf[0])
-    q, b = t.next_bins(x[:20], np.full(20, 0.5), home, np.zeros(20, dtype=int), np.full(20, 1000))
+    q, b = t.next_bins(x[:20], np.full(20, 0.5), [[leaf[0]]] * 20, np.full(20, 1000))
     near = {(i, leaf[j]) for i in range(20) for j in range(500) if leaf[j] != leaf[0] and ((x[i] - x[j]) ** 2).sum() <= 0.5}
     assert near <= set(zip(q.tolist(), b.tolist()))
 
@@ -91,8 +90,8 @@ def test_the_queue_yields_bins_by_distance():
     best = np.array([[box[i, t.bins == b].min() for b in range(t.bins.max() + 1)] for i in range(50)])
     got: dict = {i: [] for i in range(50)}
     limit = np.quantile(best, 0.7, axis=1)
-    for done, width in ((0, 2), (2, 5), (7, 100_000)):  # in three rounds, each going on where the last one ended
-        for i, b in zip(*t.next_bins(q, limit, home, np.full(50, done), np.full(50, width))):
+    for width in (2, 5, 100_000):  # in three rounds, each going on where the last one ended
+        for i, b in zip(*t.next_bins(q, limit, [[home[i], *got[i]] for i in range(50)], np.full(50, width))):
             got[int(i)].append(int(b))
     for i in range(50):
         want = [b for b in range(best.shape[1]) if b != home[i] and best[i, b] <= limit[i]]
@@ -100,6 +99,15 @@ def test_the_queue_yields_bins_by_distance():
     assert np.all(np.diff(np.take_along_axis(best, t.box_order(q), 1), axis=1) >= 0)
 
 
+def test_boxes_at_equal_distance(spark, monkeypatch):
+    """Bounds that tighten between rounds must not change which bins count as visited."""
+    monkeypatch.setattr(knn, "BIN_ROWS", 30)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(0, 3, (1500, 6)), rng.integers(0, 2, (500, 6)) + 0.5]).astype(float)
+    ids = rng.permutation(5000)[:2000]
+    assert result(frame(spark, ids, x), k=5) == brute(ids.tolist(), x, 5)
+
+
 def test_large_leaves_are_fitted_again(spark, monkeypatch):
     monkeypatch.setattr(knn, "SAMPLE_ROWS", 200)
     monkeypatch.setattr(knn, "LEAF_ROWS", 10)
