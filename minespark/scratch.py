@@ -2,8 +2,8 @@
 
 Iterative operators cut their lineage here: a parquet table outlives a lost
 executor, is read by columns, and is compressed.  The folder is the one the
-cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on
-one machine) a folder of the session's own is used.
+cluster names in ``spark.checkpoint.dir``; only where that is unset and the
+master is local (tests on one machine) a folder of the session's own is used.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables of this application."""
+    """The shared folder for intermediate tables of this application; ValueError on a cluster that names none."""
     app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if app not in _local:
             _local[app] = tempfile.mkdtemp(prefix="minespark-")
             atexit.register(_remove, _local[app])

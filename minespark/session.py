@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +25,9 @@ def get_spark(app: str = "minespark", cpus: int | None = None, memory: str = "8g
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if "spark.checkpoint.dir" not in conf:  # one machine: any folder of its own is shared
+        conf["spark.checkpoint.dir"] = folder = tempfile.mkdtemp(prefix="minespark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
