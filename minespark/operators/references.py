@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from minespark.operators.rows import skew_join
 from minespark.scratch import materialize
 
-#: A filter has at most 2^26 bits, so its broadcast is at most 8 MiB; beyond about 7 million keys it only lets more references through to the join.
-MAX_BITS_LOG2 = 26
+#: A filter has at most 2^29 bits, so its broadcast is at most 64 MiB: ten bits a key up to 53 million keys.
+MAX_BITS_LOG2 = 29
 PROBES = 4
 
 
@@ -60,14 +60,19 @@ def orphans(refs: DataFrame, parents: DataFrame, key: str, period: str, expected
     refs = refs.filter(F.col(key).isNotNull())
     n = lives.count() if expected is None else expected
     bits = min(MAX_BITS_LOG2, max(10, int(np.ceil(np.log2(max(1, n) * 10)))))
+    if n * PROBES > 2 << bits:  # so full that nine of ten orphans would pass: all references are verified by the join
+        return _verified(refs, lives, key, period)
     words = bloom_words(lives, key, bits)
     # tested once and written, as both kinds of references and the hot keys are read from it
     tested = materialize(refs.withColumn("_maybe", bloom_test(refs, key, words, bits)))
     definite = tested.filter(~F.col("_maybe")).drop("_maybe").withColumn("reason", F.lit("missing"))
-    checked = skew_join(tested.filter("_maybe").drop("_maybe"), lives, key, "left")
+    return definite.unionByName(_verified(tested.filter("_maybe").drop("_maybe"), lives, key, period))
+
+
+def _verified(refs: DataFrame, lives: DataFrame, key: str, period: str) -> DataFrame:
+    checked = skew_join(refs, lives, key, "left")
     reason = F.when(F.col("_first").isNull(), "missing").when(F.col("_last") < F.col(period), "deleted").when(F.col("_first") > F.col(period), "later")
-    verified = checked.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("_first", "_last")
-    return definite.unionByName(verified)
+    return checked.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("_first", "_last")
 
 
 def orphan_report(found: DataFrame, table: str, period: str) -> DataFrame:
