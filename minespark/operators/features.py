@@ -18,17 +18,17 @@ from pyspark.sql import functions as F
 def cumulative_table(events: DataFrame, entity: str, kind: str, day: str, amount: str) -> DataFrame:
     """(entity, kind, day, cum_n, cum_total): events and amount up to and including each day on which there are events.
 
-    Events without entity or kind are left out.  A NULL day counts as the
-    earliest (it precedes every window start); a NULL amount counts as 0.
+    Events without entity or kind are left out.  A NULL day stays NULL and counts
+    as the earliest (it precedes every window start); a NULL amount counts as 0.
     Amounts are summed as decimals of two places, so totals do not depend on
     the order of rows.
     """
     daily = (
         events.filter(F.col(entity).isNotNull() & F.col(kind).isNotNull())
-        .groupBy(entity, kind, F.coalesce(F.col(day), F.lit("0001-01-01").cast("date")).alias("day"))
+        .groupBy(entity, kind, F.col(day).alias("day"))
         .agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col(amount).cast("decimal(18,2)")), F.lit(0).cast("decimal(28,2)")).alias("total"))
     )
-    w = Window.partitionBy(entity, kind).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(entity, kind).orderBy(F.col("day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     return daily.select(entity, kind, "day", F.sum("n").over(w).alias("cum_n"), F.sum("total").over(w).alias("cum_total"))
 
 
@@ -37,7 +37,8 @@ def as_of_features(cum: DataFrame, entity: str, kind: str, as_of: str | None = N
 
     ``as_of`` (yyyy-mm-dd) is the last day that counts; None takes all days, and
     windows and recency then end at the last day of the whole table.  Kinds
-    without an event up to ``as_of`` have no row.  An endpoint is the table's
+    without an event up to ``as_of`` have no row; events without a day count in
+    n and total, but give no last_day and no recency.  An endpoint is the table's
     last row at or before a day, so a window costs two lookups, not a scan of
     its events.
     """
@@ -45,12 +46,13 @@ def as_of_features(cum: DataFrame, entity: str, kind: str, as_of: str | None = N
         end = cum.agg(F.max("day").alias("_end"))
         cum = cum.join(F.broadcast(end), how="inner") if windows else cum.withColumn("_end", F.lit(None).cast("date"))  # one row
     else:
-        cum = cum.withColumn("_end", F.lit(as_of).cast("date")).filter(F.col("day") <= F.col("_end"))
+        cum = cum.withColumn("_end", F.lit(as_of).cast("date")).filter(F.col("day").isNull() | (F.col("day") <= F.col("_end")))
+    cum = cum.withColumn("_d", F.coalesce("day", F.lit("0001-01-01").cast("date")))  # only to be compared
 
     def at(col: str, back: int):
-        return F.max_by(col, F.when(F.col("day") <= F.date_sub("_end", back), F.col("day")))
+        return F.max_by(col, F.when(F.col("_d") <= F.date_sub("_end", back), F.col("_d")))
 
-    aggs = [F.max_by("cum_n", "day").alias("n"), F.max_by("cum_total", "day").alias("total"), F.max("day").alias("last_day"), F.max("_end").alias("_end")]
+    aggs = [F.max_by("cum_n", "_d").alias("n"), F.max_by("cum_total", "_d").alias("total"), F.max("day").alias("last_day"), F.max("_end").alias("_end")]
     for w in windows:
         aggs += [at("cum_n", w).alias(f"_n{w}"), at("cum_total", w).alias(f"_t{w}")]
     out = cum.groupBy(entity, kind).agg(*aggs)
