@@ -4,7 +4,8 @@ The schema graph of the records (element types are member names) is derived
 from all of them.  An element type gets a table of its own if it is repeated,
 shared (below more than one type) or closes a recursion; every other one is
 inlined into its parent's table as dotted columns.  Each row has the id of its
-record, its own id, and its parent's table and id.
+record, its own id, and its parent's table and id.  A list in a list of member
+m is a row of m, and its items are rows of a table ``m[]``.
 
 An id is the dotted list of the ordinals of the repeated elements above it, so
 ids tell positions, and a parent's id is a prefix of its children's.
@@ -63,7 +64,14 @@ def _edges_of(obj: dict, kind: str, seen: set) -> None:
                 todo.append((v, name))
             elif isinstance(v, list):
                 seen.add((k, name, "list"))
-                todo += [(i, name) for i in v if isinstance(i, dict)]
+                lists = [(v, name)]
+                while lists:
+                    items, kind = lists.pop()
+                    todo += [(i, kind) for i in items if isinstance(i, dict)]
+                    inner = [(i, f"{kind}[]") for i in items if isinstance(i, list)]
+                    if inner:
+                        seen.add((kind, f"{kind}[]", "list"))
+                        lists += inner
             else:
                 seen.add((k, name, "null" if v is None else "scalar"))
 
@@ -161,6 +169,9 @@ def _rows_of(root: dict, ordinal: int, own: set[str]) -> Iterator[tuple]:
         inner = [("", obj)]
         while inner:
             prefix, x = inner.pop()
+            if isinstance(x, list):  # a list in a list
+                todo += [(f"{kind}[]", i, f"{rid}.{n}", kind, rid, n) for n, i in enumerate(x)]
+                continue
             if not isinstance(x, dict):  # a list of plain values
                 fields[prefix + "value"] = _text(x)
                 continue
@@ -203,7 +214,13 @@ def shred(df: DataFrame, key: str, text: str, envelopes: Sequence[str] = (), rep
                         o[name] = [v]
                     todo.append(v)
                 elif isinstance(v, list):
-                    todo += [i for i in v if isinstance(i, dict)]
+                    items = list(v)
+                    while items:
+                        i = items.pop()
+                        if isinstance(i, dict):
+                            todo.append(i)
+                        elif isinstance(i, list):
+                            items += i
         return x
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,13 +9,13 @@ _TOKEN = re.compile(r'[ \t\n\r]*([{}\[\],:]|"(?:[^"\\]|\\.)*"|[^\s{}\[\],:"]+)',
 _DECODER = json.JSONDecoder(strict=False)
 
 
-def decode(text: str | None, max_wraps: int = 5):
+def decode(text: str | None):
     """The JSON object or array in ``text``; None if there is none or it is cut off.
 
     A byte-order mark, blanks, text before or after the value, and JSON that is
-    itself the content of a JSON string (up to ``max_wraps`` times) do not matter.
+    itself the content of a JSON string, however often, do not matter.
     """
-    for _ in range(max_wraps):
+    while True:
         if not isinstance(text, str):
             return text if isinstance(text, (dict, list)) else None
         s = text.lstrip("\ufeff \t\r\n")
@@ -38,7 +38,6 @@ def decode(text: str | None, max_wraps: int = 5):
                 inner = re.compile(r"[{\[]").search(s, at + 1)
                 if inner is None or getattr(x, "pos", len(s)) >= inner.start():
                     return None
-    return None
 
 
 def _raw(s: str, at: int):
