@@ -4,22 +4,35 @@ from __future__ import annotations
 
 import argparse
 import time
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from minespark.operators import assoc, clustering, evaluate, neighbours, pagerank, prep, recommend, text, tree
+from minespark.scratch import materialize
 from minespark.session import get_spark
 from minespark.sources import readers, writers
 
 
-def _emit(args, content: str, name: str) -> None:
-    if not args.noprint:
-        print(content)
+def _emit(args, content: str | Iterable[str], name: str) -> None:
+    """Print the text or its lines, write them, or both; each line is made once and none is kept."""
+
+    def shown(lines: Iterable[str]) -> Iterator[str]:
+        for line in lines:
+            if not args.noprint:
+                print(line)
+            yield line
+
+    lines = shown([content] if isinstance(content, str) else content)
     if args.out:
         Path(args.out).mkdir(parents=True, exist_ok=True)
-        writers.text(f"{args.out}/{name}", content)
+        writers.text(f"{args.out}/{name}", lines)
+    else:
+        for _ in lines:
+            pass
 
 
 def _classified(spark: SparkSession, args) -> tuple[DataFrame, str, list[str]]:
@@ -87,12 +100,12 @@ def apriori(spark, args) -> None:
     top = assoc.maximal_itemsets(sets)
     names = readers.item_names(spark, args.items, 0, args.names.split(",")) if args.items else None
     rules = assoc.rules(sets, total, args.min_confidence, top if args.skyline else None)
-    out = [f"{total} baskets, support {args.min_support}, confidence {args.min_confidence}"]
+    out: list[Iterable[str]] = [[f"{total} baskets, support {args.min_support}, confidence {args.min_confidence}"]]
     if args.show in ("all", "sets"):
-        out.append(writers.frame_text((top if args.skyline else sets).select(F.array_join(F.transform("items", lambda x: x.cast("string")), ", ").alias("items"), "n").orderBy(F.desc("n"), "items")))
+        out.append(writers.frame_lines((top if args.skyline else sets).select(F.array_join(F.transform("items", lambda x: x.cast("string")), ", ").alias("items"), "n").orderBy(F.desc("n"), "items")))
     if args.show in ("all", "rules"):
-        out.append("\n".join(r["text"] for r in assoc.rule_text(rules, names).orderBy(F.desc("support"), "text").collect()))
-    _emit(args, "\n\n".join(out), f"{Path(args.data).stem}_rules.txt")
+        out.append(r["text"] for r in assoc.rule_text(rules, names).orderBy(F.desc("support"), "text").toLocalIterator())
+    _emit(args, chain.from_iterable(chain(part, [""]) for part in out), f"{Path(args.data).stem}_rules.txt")
 
 
 def _points(spark, args) -> tuple[DataFrame, list[str]]:
@@ -132,7 +145,7 @@ def vectorize(spark, args) -> None:
     docs = readers.text_files(spark, args.data, sample=args.size)
     stop = readers.stopwords(spark, args.stopwords) if args.stopwords else None
     tf = text.term_frequencies(docs.withColumn("id", F.xxhash64("path")), "id", "text", stopwords=stop)
-    writers.term_table(tf, f"{args.out or '.'}/vectorized")
+    writers.term_table(tf, f"{args.out or '.'}/{Path(args.data).name}_vectorized", args.wide)
     writers.csv(docs.select("name", "author"), f"{args.out or '.'}/ground_truth", header=False)
 
 
@@ -141,14 +154,15 @@ def authors(spark, args) -> None:
     n = docs.count()
     x = text.tf_idf(text.term_frequencies(docs, "doc", "text"), n)
     left, right = (text.cosine_weights(x),) * 2 if args.metric == "cosine" else text.okapi_weights(x, docs.select("doc", "dl"), n)
-    got = text.knn_authors(text.most_similar(left, right, args.k, n, n), docs.select("doc", "author"))
+    got = materialize(text.knn_authors(text.most_similar(left, right, args.k, n, n), docs.select("doc", "author")))
+    if args.out:
+        writers.csv(docs.select("doc", "name").join(got.withColumnRenamed("query", "doc"), "doc").select(F.col("name").alias("doc"), "obs", "pred"), f"{args.out}/authors_knn_pred")
     _emit(args, writers.frame_text(evaluate.author_report(got).orderBy("author")) + "\n\n" + writers.frame_text(evaluate.accuracy(got)), "authors_knn_results.out")
 
 
 def rank(spark, args) -> None:
     t = time.time()
-    e = pagerank.graph(readers.edge_list(spark, args.data), "n1", "n2", args.directed).cache()
-    e.count()
+    e = materialize(pagerank.graph(readers.edge_list(spark, args.data), "n1", "n2", args.directed))
     read = (time.time() - t) * 1000
     t = time.time()
     ranks, it = pagerank.pagerank(e, args.d)
@@ -185,7 +199,7 @@ def main(argv: list[str] | None = None) -> None:
     command("dbscan", dbscan, ("--eps", {"type": float, "default": 0.5}), ("--points", {"type": int, "default": 3}), *pts)
     command("hclust", hclust, ("--threshold", {"type": float, "default": -1.0}), ("--by", {"choices": ["height", "nclust"], "default": "height"}), *pts)
     command("recommend", recommend_cmd, ("--method", {"choices": sorted(recommend.METHODS), "default": "user-weighted-sum"}), ("--n", {"type": int, "default": 5}), ("--cells", {}), ("--size", {"type": int, "default": 100}))
-    command("vectorize", vectorize, ("--stopwords", {}), ("--size", {"type": int, "default": None}))
+    command("vectorize", vectorize, ("--stopwords", {}), ("--size", {"type": int, "default": None}), ("--wide", {"action": "store_true"}))
     command("authors", authors, ("--metric", {"choices": ["cosine", "okapi"], "default": "okapi"}), ("--k", {"type": int, "default": 5}))
     command("pagerank", rank, ("--d", {"type": float, "default": 0.5}), ("--directed", {"action": "store_true"}))
     args = p.parse_args(argv)

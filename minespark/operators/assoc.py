@@ -125,5 +125,6 @@ def explore(baskets: DataFrame, min_support: float) -> tuple[DataFrame, DataFram
 
 def item_list(c: Column, remove: list[int] | None = None) -> Column:
     """The items of a text line ``tid, i1, i2, ...`` without those of ``remove``."""
-    items = F.transform(F.slice(F.split(c, r",\s*"), 2, 1_000_000), lambda x: F.expr("1") * x.try_cast("int"))
+    cells = F.split(c, r",\s*")
+    items = F.transform(F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0))), lambda x: F.expr("1") * x.try_cast("int"))
     return F.array_except(items, F.array(*[F.lit(i) for i in remove])) if remove else items

@@ -57,8 +57,14 @@ def standardize(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def levels(df: DataFrame, cols: Sequence[str], most: int = 1000) -> dict[str, list]:
     """The sorted non-NULL values of each column; ValueError beyond ``most``, as such a column is no category."""
-    got = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols]).first() if cols else {}
-    out = {c: list(got[c]) for c in cols}
+    out = {}
+    if cols:
+        n = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+        for c in cols:  # before any set of values is built
+            if n[c] > 2 * most:
+                raise ValueError(f"{c} has about {n[c]} values")
+        got = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols]).first()
+        out = {c: list(got[c]) for c in cols}
     for c, v in out.items():
         if len(v) > most:
             raise ValueError(f"{c} has {len(v)} values")

@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 from minespark.operators.assoc import item_list
 
 
-def head(spark: SparkSession, path: str, n: int, encoding: str = "utf-8") -> list[str]:
-    """The first ``n`` lines of a file."""
+def head(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The first ``n`` lines of a file; ValueError for several files, of which each would have leading rows of its own."""
+    if len(spark.read.text(path).inputFiles()) > 1:
+        raise ValueError(f"{path} has several files")
     return [r[0] for r in spark.read.text(path).limit(n).collect()]
 
 
@@ -52,26 +54,20 @@ def csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None
     return df.toDF(*(columns or [f"c{i}" for i in range(len(df.columns))]))
 
 
-def _is_number(s: str) -> bool:
-    try:
-        float(s)
-        return True
-    except ValueError:
-        return False
-
-
 def classified_csv(spark: SparkSession, path: str, numeric: Sequence[str] | None = None, rid: str = "_rid", categorical_only: bool = False) -> tuple[DataFrame, str]:
     """A table with two metadata rows after the header - domain sizes, which are skipped, and the class attribute's name - and that name.
 
-    Columns named ``numeric`` (default: those whose first data row is a number
-    and whose domain size is below 1) are DOUBLE, all others and the class
-    STRING.  ``rid`` is the order of the rows.
+    Columns named ``numeric`` (default: those whose domain size is below 1 and
+    of which every value is a number, told by one pass over the file) are
+    DOUBLE, all others and the class STRING.  ``rid`` is the order of the rows.
     """
-    lines = head(spark, path, 4)
+    lines = head(spark, path, 3)
     names, sizes, label = _cells(lines[0]), _cells(lines[1]), _cells(lines[2])[0]
     if numeric is None:
-        sample = _cells(lines[3]) if len(lines) > 3 else []
-        numeric = [] if categorical_only else [n for n, s, x in zip(names, sizes, sample) if n != label and _is_number(x) and s in ("0", "-1", "")]
+        maybe = [] if categorical_only else [n for n, s in zip(names, sizes) if n != label and s in ("0", "-1", "")]
+        rows = _rows(spark, path, 3, names, ["string"] * len(names))
+        ok = rows.agg(*[F.bool_and(F.col(f"`{n}`").isNull() | F.col(f"`{n}`").try_cast("double").isNotNull()).alias(n) for n in maybe]).first() if maybe else {}
+        numeric = [n for n in maybe if ok[n]]
     kinds = ["double" if n in numeric else "string" for n in names]
     return _rows(spark, path, 3, names, kinds, ordered=rid), label
 
@@ -160,6 +156,14 @@ def numeric_matrix(spark: SparkSession, path: str, sep: str = ",", rid: str | No
     return _rows(spark, path, 0, [f"c{i}" for i in range(width)], ["double"] * width, sep, ordered=rid)
 
 
+def vectors_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, term, f) of a wide table with a column a word, as written by :func:`minespark.sources.writers.term_table`; zeros have no row."""
+    df = spark.read.csv(path, header=True)
+    words = df.columns[1:]
+    long = df.unpivot([df.columns[0]], [f"`{w}`" for w in words], "term", "f")
+    return long.select(F.col(f"`{df.columns[0]}`").alias("doc"), "term", F.col("f").try_cast("bigint").alias("f")).filter("f <> 0")
+
+
 def vectors_json(spark: SparkSession, path: str) -> DataFrame:
     """Documents with their vectors, as written by :func:`minespark.sources.writers.corpus_json`."""
     return spark.read.schema("doc string, terms map<string,double>").json(path)

@@ -105,7 +105,7 @@ def test_forest_and_text_commands(spark, tmp_path):
         for i in range(3):
             put(tmp_path, f"c/{author}/{i}.txt", f"{words} {'x' * i} number {i} {author}")
     cli.main(["vectorize", str(tmp_path / "c"), "--out", str(tmp_path / "v"), "--noprint"])
-    assert spark.read.parquet(str(tmp_path / "v" / "vectorized")).filter("term = 'tea' AND f = 2").count() == 3
+    assert spark.read.parquet(str(tmp_path / "v" / "c_vectorized")).filter("term = 'tea' AND f = 2").count() == 3
     cli.main(["authors", str(tmp_path / "c"), "--k", "2", "--metric", "cosine", "--out", str(tmp_path / "o"), "--noprint"])
     assert "1.0000" in (tmp_path / "o" / "authors_knn_results.out").read_text()
 
