@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from minespark.functions import linalg as L
 from minespark.operators.components import connected_components
-from minespark.operators.prep import moments, standardize
+from minespark.operators.prep import lot, moments, standardize, with_rid
 from minespark.scratch import materialize
 
 
@@ -48,7 +48,7 @@ def farthest_first(p: DataFrame, k: int) -> list[list[float]]:
 
 def random_start(p: DataFrame, k: int, seed: int = 0) -> list[list[float]]:
     """``k`` rows picked by hash."""
-    return [list(r["v"]) for r in p.orderBy(F.xxhash64(F.lit(seed), "rid"), "rid").limit(k).collect()]
+    return [list(r["v"]) for r in p.orderBy(lot(seed, "rid"), "rid").limit(k).collect()]
 
 
 def assign(p: DataFrame, centroids: Sequence[Sequence[float]]) -> DataFrame:
@@ -142,8 +142,6 @@ def dbscan(p: DataFrame, eps: float, min_points: int) -> DataFrame:
     comp = connected_components(links.filter("a < b").unionByName(core.select("a", F.col("a").alias("b"))), "a", "b")
     comp = materialize(comp)
     roots = comp.select("component").distinct()
-    from minespark.operators.prep import with_rid
-
     number = with_rid(roots, ["component"], "cluster").withColumn("cluster", F.col("cluster").cast("int"))
     cores = comp.join(number, "component").select(F.col("node").alias("rid"), "cluster")
     cores = materialize(cores)

@@ -88,18 +88,23 @@ def impute(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return j.select(*[F.coalesce(F.col(c), F.col(f"_fill_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
+def lot(seed: int, *keys: str) -> Column:
+    """A BIGINT below 2^60 drawn for a key: the first 15 digits of the MD5 of ``seed:key``, which any other engine can draw too."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), 1, 15), 16, 10).cast("bigint")
+
+
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """``n`` rows without replacement, the same ones however the rows are partitioned (a top-n by hash; the limit is the operator)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(lot(seed, key), key).limit(n)
 
 
 def sample_share(df: DataFrame, share: float, key: str, seed: int = 0) -> DataFrame:
     """About ``share`` of the rows, by hash of the key: one filter."""
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    return df.filter(F.pmod(lot(seed, key), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key)
+    return df.orderBy(lot(seed, key), key)
 
 
 def with_rid(df: DataFrame, order: Sequence[str], name: str = "_rid") -> DataFrame:
@@ -114,7 +119,7 @@ def with_rid(df: DataFrame, order: Sequence[str], name: str = "_rid") -> DataFra
 def bootstrap(df: DataFrame, rid: str, n_rows: int, draws: int, seed: int = 0, copies: int = 1) -> DataFrame:
     """``draws`` rows drawn with replacement (exactly), for each of ``copies`` samples: column ``sample``; ``rid`` runs from 0 to n_rows - 1."""
     spark = df.sparkSession
-    picks = spark.range(copies * draws).select((F.col("id") / draws).cast("int").alias("sample"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n_rows)).alias(rid))
+    picks = spark.range(copies * draws).select((F.col("id") / draws).cast("int").alias("sample"), F.pmod(lot(seed, "id"), F.lit(n_rows)).alias(rid))
     return picks.join(df, rid)
 
 
@@ -125,7 +130,7 @@ def sample_columns(cols: Sequence[str], k: int, seed: int = 0) -> list[str]:
 def k_folds(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """``fold`` from 1 to k; sizes differ by at most one.  Numbered in hash order by range partitions."""
     n = df.count()
-    rows = with_rid(df.withColumn("_s", F.xxhash64(F.lit(seed), key)), ["_s", key], "_no")
+    rows = with_rid(df.withColumn("_s", lot(seed, key)), ["_s", key], "_no")
     big, size = n % k, n // k
     cut = big * (size + 1)
     fold = F.when(F.col("_no") < cut, F.floor(F.col("_no") / (size + 1))).otherwise(big + F.floor((F.col("_no") - cut) / max(size, 1)))
@@ -134,5 +139,5 @@ def k_folds(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
 
 def holdout(df: DataFrame, key: str, share: float = 2 / 3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """A training and a test table without a common key, by hash."""
-    train = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    train = F.pmod(lot(seed, key), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
     return df.filter(train), df.filter(~train)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from minespark.operators.prep import lot, with_rid
 from minespark.scratch import materialize
 
 BLOCK = 1024  # vectors of a block, in expectation; they meet blocks of 4 * BLOCK
@@ -199,17 +200,24 @@ def evaluate_list(r: DataFrame, cells: DataFrame, method: str, n: int | None = 5
     return known.join(predict(sub, known.select("user", "item"), kind, how, n), ["user", "item"], "left").select("user", "item", "rating", "pred")
 
 
+def evaluate_random(r: DataFrame, size: int, repeats: int, method: str, n: int | None = 5, seed: int = 0) -> DataFrame:
+    """(repeat, user, item, rating, pred): ``repeats`` independent samples of ``size`` rated cells, each evaluated as a list of its own."""
+    out = None
+    for i in range(repeats):
+        one = evaluate_list(r, sample_cells(r, size, seed + i), method, n).withColumn("repeat", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return out.select("repeat", "user", "item", "rating", "pred")
+
+
 def sample_cells(r: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """``size`` rated cells, picked by hash."""
-    return r.orderBy(F.xxhash64(F.lit(seed), "user", "item"), "user", "item").limit(size).select("user", "item")
+    return r.orderBy(lot(seed, "user", "item"), "user", "item").limit(size).select("user", "item")
 
 
 def sample_any(r: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """``size`` cells of independently drawn users and items, with replacement; unrated ones drop out in the evaluation."""
-    from minespark.operators.prep import with_rid
-
     users = with_rid(r.select("user").distinct(), ["user"], "_u")
     items = with_rid(r.select("item").distinct(), ["item"], "_i")
     n, m = users.count(), items.count()
-    picks = r.sparkSession.range(size).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))).alias("_u"), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(max(m, 1))).alias("_i"))
+    picks = r.sparkSession.range(size).select(F.pmod(lot(seed, "id"), F.lit(max(n, 1))).alias("_u"), F.pmod(lot(seed + 1, "id"), F.lit(max(m, 1))).alias("_i"))
     return picks.join(users, "_u").join(items, "_i").select("user", "item")

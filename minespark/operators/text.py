@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minespark.functions.stem import stems
+from minespark.operators import tree
+from minespark.operators.prep import lot
+from minespark.scratch import materialize
 
 CLEAN = r"[^a-zA-Z'. ]+|^\.|\.$"  # runs of other characters become one blank
 # the token rules - drop quotes at the ends, a final 's and all periods - applied to the whole text, in which blanks end tokens
@@ -34,12 +39,57 @@ def term_frequencies(docs: DataFrame, doc: str, text: str, stemmed: bool = True,
     return long.select("doc", F.explode("ts").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("f"))
 
 
-def substring_frequencies(docs: DataFrame, doc: str, text: str, vocabulary: list[str]) -> DataFrame:
-    """(doc, term, f): how often each word of a bounded vocabulary occurs as a substring of the stemmed text, stopwords included; zeros have no row."""
-    if len(vocabulary) > 20_000:
-        raise ValueError("more than 20,000 words")
-    body = docs.select(F.col(doc).alias("doc"), F.array_join(stems(tokens(F.col(text))), " ").alias("body"))
-    return body.select("doc", "body", F.explode(F.array(*[F.lit(w) for w in vocabulary])).alias("term")).select("doc", "term", F.regexp_count("body", F.col("term")).cast("bigint").alias("f")).filter("f > 0")
+def substring_frequencies(docs: DataFrame, doc: str, text: str, vocabulary: DataFrame | list[str], stemmed: bool = True, most_words: int = 1_000_000) -> DataFrame:
+    """(doc, term, f): how often each word of a vocabulary (a list, or a column ``term``) occurs as a substring of the (stemmed) text, stopwords included; zeros have no row.
+
+    Occurrences of one word do not overlap.  All words are looked for in one
+    pass over a text, by an automaton that is broadcast; ValueError beyond
+    ``most_words`` words.
+    """
+    if isinstance(vocabulary, DataFrame):
+        vocabulary = [r[0] for r in vocabulary.select("term").filter("term <> ''").distinct().limit(most_words + 1).collect()]
+    if len(vocabulary) > most_words:
+        raise ValueError(f"more than {most_words} words")
+    t = tokens(F.col(text))
+    body = docs.select(F.col(doc).alias("doc"), F.array_join(stems(t) if stemmed else t, " ").alias("body"))
+    shared = docs.sparkSession.sparkContext.broadcast(sorted(set(vocabulary) - {""}))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        words = shared.value
+        find = ahocorasick.Automaton()
+        for i, w in enumerate(words):
+            find.add_word(w, i)
+        if words:
+            find.make_automaton()
+        for b in batches:
+            out: list = []
+            for d, s in zip(b["doc"], b["body"]):
+                n: dict = {}
+                end: dict = {}
+                for at, i in find.iter(s) if words and s else ():
+                    if at - len(words[i]) >= end.get(i, -1):
+                        n[i], end[i] = n.get(i, 0) + 1, at
+                out += [(d, words[i], c) for i, c in n.items()]
+            yield pd.DataFrame(out, columns=["doc", "term", "f"])
+
+    return body.mapInPandas(run, f"doc {body.schema['doc'].dataType.simpleString()}, term string, f bigint")
+
+
+def forest_authors(tf: DataFrame, authors: DataFrame, n_attrs: int, n_rows: int, n_trees: int, threshold: float = 0.0, use_ratio: bool = False, seed: int = 0) -> DataFrame:
+    """(doc, obs, pred): each document's author (``authors``: doc, author) as a random forest over term frequencies tells it.
+
+    Each tree has ``n_attrs`` words of the whole vocabulary, so only n_attrs *
+    n_trees words, drawn by hash, become columns.
+    """
+    words = [r[0] for r in tf.select("term").distinct().orderBy(lot(seed, "term"), "term").limit(n_attrs * n_trees).collect()]
+    name = {w: f"w{i}" for i, w in enumerate(words)}
+    wide = tf.filter(F.col("term").isin(words)).groupBy("doc").agg(*[F.sum(F.when(F.col("term") == w, F.col("f"))).alias(c) for w, c in name.items()])
+    rows = authors.select("doc", "author").join(wide, "doc", "left").fillna(0, list(name.values()))
+    rows = materialize(rows.withColumns({c: F.col(c).cast("double") for c in name.values()}))
+    m = tree.forest(rows, list(name.values()), "author", min(n_attrs, len(words)), n_rows, n_trees, threshold, use_ratio, key=["doc"], seed=seed)
+    return m.vote(rows).select("doc", F.col("author").alias("obs"), "pred")
 
 
 def doc_lengths(docs: DataFrame, doc: str, text: str) -> DataFrame:

@@ -68,18 +68,6 @@ def association_rules(spark, d) -> DataFrame:
     return r.select(F.array_join("antecedent", ",").alias("antecedent"), "consequent", F.round("support", 8).alias("support"), F.round("confidence", 8).alias("confidence"))
 
 
-@query()
-def rule_texts(spark, d) -> DataFrame:
-    sets, total = assoc.frequent_itemsets(brand_baskets(spark, d), MIN_SUPPORT)
-    return assoc.rule_text(assoc.rules(sets, total, MIN_CONFIDENCE, assoc.maximal_itemsets(sets))).select("text")
-
-
-@query()
-def rule_exploration(spark, d) -> DataFrame:
-    s, c = assoc.explore(brand_baskets(spark, d), MIN_SUPPORT)
-    return s.select(F.lit("support").alias("measure"), F.col("support").alias("value")).unionByName(c.select(F.lit("confidence").alias("measure"), F.col("confidence").alias("value")))
-
-
 # -- trees, Bayes, linear classifier -----------------------------------------
 
 
@@ -145,32 +133,6 @@ def c45_stump(spark, d) -> DataFrame:
     return tree.c45(p, CATS, "cc_group", rid="vec_id", max_depth=1).transform(p).select("vec_id", "pred")
 
 
-@query()
-def holdout_naive_bayes(spark, d) -> DataFrame:
-    train, test = prep.holdout(patients(spark, d), "vec_id", 2 / 3, seed=1)
-    return evaluate.overall(bayes.predict(test, bayes.fit(train, CATS, "cc_group")), "cc_group", "pred")
-
-
-@query()
-def svm_cross_validation(spark, d) -> DataFrame:
-    """Five folds: each customer judged by the weights of the others' folds."""
-    c = load(spark, d, "customer")
-    z = c.select("c_custkey", ((F.col("c_acctbal") - 4500) / 3000).alias("x"), ((F.col("c_nationkey") - 12) / 7.0).alias("y"), F.when(F.col("c_acctbal") + 200 * F.col("c_nationkey") > 7000, 1.0).otherwise(-1.0).alias("obs"))
-    rows = materialize(z.join(prep.k_folds(z.select("c_custkey"), "c_custkey", 5, seed=1), "c_custkey"))
-    parts = [svm.predict(rows.filter(F.col("fold") == f), ["x", "y"], svm.fit(rows.filter(F.col("fold") != f), ["x", "y"], "obs", 0.0001, 10), -1) for f in range(1, 6)]
-    got = parts[0]
-    for x in parts[1:]:
-        got = got.unionByName(x)
-    return evaluate.fold_report(got)
-
-
-@query()
-def c45_cross_validation(spark, d) -> DataFrame:
-    p = patients(spark, d)
-    folds = prep.k_folds(p.select("vec_id"), "vec_id", 5, seed=1)
-    return evaluate.fold_report(tree.cross_validate(p, CATS, "cc_group", folds, "vec_id", threshold=0.01))
-
-
 @query()
 def random_forest(spark, d) -> DataFrame:
     p = patients(spark, d)
@@ -232,14 +194,6 @@ def knn_best_k(spark, d) -> DataFrame:
     return neighbours.best_k(near, e, "vec_id", "label", range(1, 11)).select("k", F.round("accuracy", 8).alias("accuracy"))
 
 
-@query()
-def knn_mixed_features(spark, d) -> DataFrame:
-    """Leave-one-out classification of the stated query set from standardized numbers and one-hot categories."""
-    f = materialize(neighbours.features(patients(spark, d), "vec_id", "cc_group"))
-    near = neighbours.nearest(f.filter("vec_id % 20 = 0"), f, "vec_id", "v", 10, payload="cc_group")
-    return neighbours.classify(near, 10)
-
-
 # -- clustering --------------------------------------------------------------
 
 
@@ -296,15 +250,6 @@ def approximate_equality(spark, d) -> DataFrame:
     return g.agg(F.bool_and(close(F.col("a"), F.col("b"))).alias("all_close"))
 
 
-@query()
-def hclust_merges(spark, d) -> DataFrame:
-    """Average linkage of nations by the mean balances of their customers and suppliers."""
-    a = load(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("x"))
-    b = load(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.avg("s_acctbal").alias("y"))
-    _, t = clustering.hclust(a.join(b, "k"), ["x", "y"])
-    return spark.createDataFrame([(i, *m) for i, m in enumerate(t.merges)], "step int, left_id int, right_id int, new_id int, height double, size int")
-
-
 # -- collaborative filtering -------------------------------------------------
 
 

@@ -70,27 +70,6 @@ def impute_median_mode(spark, d) -> DataFrame:
     return prep.impute(t, ["clm_pmt_amt", "bene_race_cd"])
 
 
-@query()
-def sample_without_replacement(spark, d) -> DataFrame:
-    return prep.sample_exact(load(spark, d, "orders").select("o_orderkey", "o_totalprice"), 100, "o_orderkey", seed=7)
-
-
-@query()
-def sample_fraction(spark, d) -> DataFrame:
-    return prep.sample_share(load(spark, d, "orders").select("o_orderkey", "o_totalprice"), 0.1, "o_orderkey", seed=7)
-
-
-@query()
-def bootstrap_rows(spark, d) -> DataFrame:
-    c = prep.with_rid(load(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_custkey"])
-    return prep.bootstrap(c, "_rid", c.count(), 500, seed=3, copies=2)
-
-
-@query()
-def shuffled_rows(spark, d) -> DataFrame:
-    return prep.shuffled(load(spark, d, "customer").select("c_custkey"), "c_custkey", seed=5)
-
-
 # -- joins ------------------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from minespark.operators.assoc import item_list
+from minespark.operators.prep import lot
 
 
 def head(spark: SparkSession, path: str, n: int) -> list[str]:
@@ -130,7 +131,7 @@ def text_files(spark: SparkSession, folder: str, encoding: str = "ISO-8859-1", s
     b = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     p = F.split("path", "/")
     df = b.select("path", F.element_at(p, -2).alias("author"), F.element_at(p, -1).alias("name"), F.decode("content", encoding).alias("text"), F.col("length").alias("dl"))
-    return df if sample is None else df.orderBy(F.xxhash64(F.lit(seed), "path"), "path").limit(sample)
+    return df if sample is None else df.orderBy(lot(seed, "path"), "path").limit(sample)
 
 
 def stopwords(spark: SparkSession, path: str) -> DataFrame:
