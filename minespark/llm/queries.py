@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from minespark.functions.keys import name_key
 from minespark.llm import knn, langid, mcl, mixing, packing, tokens
+from minespark.operators import prep
 from minespark.scratch import materialize
 from minespark.tables import load, load_spread
 
@@ -27,6 +28,7 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- nearest vectors -------------------------------------------------------
 
+# What a feature is divided by, and the features of which only equality counts.
 KNN_SCALED = {"est_age_in_days": 3650.0, "clm_pmt_amt": 10000.0, "claim_count": 2.0}
 KNN_KINDS = ("bene_race_cd", "bene_sex_ident_cd", "sp_alzhdmta", "sp_chf", "sp_chrnkidn", "sp_cncr", "sp_copd", "sp_osteoprs", "sp_ra_oa", "sp_strketia")
 
@@ -38,13 +40,11 @@ def knn_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     raw = load(spark, sf_dir, "bene_knn").select("vec_id", *KNN_SCALED, *KNN_KINDS).dropna()
     rows = raw.groupBy("vec_id").agg(F.min(F.struct(*KNN_SCALED, *KNN_KINDS)).alias("x")).select("vec_id", "x.*")
-    levels = rows.agg(*[F.collect_set(F.col(c).cast("string")).alias(c) for c in KNN_KINDS]).first()
+    levels = prep.levels(rows.select(*[F.col(c).cast("string").alias(c) for c in KNN_KINDS]), KNN_KINDS, most=64)
     half = 0.5**0.5
     dims = [(F.col(c) / F.lit(s)).cast("double") for c, s in KNN_SCALED.items()]
     for c in KNN_KINDS:
-        values = sorted(levels[c])
-        if len(values) > 64:
-            raise ValueError(f"{c} has {len(values)} values: not a kind")
+        values = levels[c]
         dims += [F.when(F.col(c).cast("string") == v, F.lit(half)).otherwise(F.lit(0.0)) for v in values] if len(values) != 2 else [(F.col(c).cast("string") == values[1]).cast("double")]
     return rows.select("vec_id", F.array(*dims).alias("v"))
 
@@ -111,6 +111,11 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(tokens.token_counts(load_spread(spark, sf_dir, "documents", "doc_id", "source", "text"), "text", ["doc_id", "source"]))
 
 
+def document_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``document_tokens``, measured in bytes, which SQL can measure too."""
+    return load(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("tokens"))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(document_tokens(spark, sf_dir), load(spark, sf_dir, "container_kind"), "doc_id", "tokens", "kind_id", "capacity_tokens")
     return packed.withColumnRenamed("item_id", "doc_id")
@@ -120,13 +125,49 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, sf_dir), load(spark, sf_dir, "container_kind"), "kind_id", "capacity_tokens")
 
 
-def _mix(spark: SparkSession, sf_dir: str):
-    docs = document_tokens(spark, sf_dir).withColumn("source", name_key(F.col("source")))
-    items = materialize(mixing.hashed(docs, "doc_id", "source", "tokens"))
-    t = load(spark, sf_dir, "mix_target").select(name_key(F.col("source")).alias("s"), "target_share", "max_repeat").dropna().limit(10_001).collect()
-    if len(t) > 10_000:
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of all containers, measured in bytes: items, pieces and bytes of each kind, containers over their capacity, and items cut although they fit."""
+    kinds = materialize(load(spark, sf_dir, "container_kind").select("kind_id", (F.col("capacity_tokens") * 4).alias("room")))
+    packed = materialize(packing.pack(document_bytes(spark, sf_dir), kinds, "doc_id", "tokens", "kind_id", "room"))
+    bins = packed.groupBy("kind_id", "bin").agg(F.sum("n_tokens").alias("used")).join(F.broadcast(kinds), "kind_id").groupBy("kind_id").agg(F.count_if(F.col("used") > F.col("room")).alias("over"))  # four kinds
+    items = packed.groupBy("kind_id", "item_id").agg(F.count("*").alias("c"), F.sum("n_tokens").alias("size"))
+    items = items.join(F.broadcast(kinds), "kind_id").groupBy("kind_id").agg(F.count("*").alias("n_items"), F.sum("c").alias("n_pieces"), F.sum("size").alias("n_bytes"), F.count_if((F.col("c") > 1) & (F.col("size") <= F.col("room"))).alias("cut"))
+    return items.join(bins, "kind_id").select(F.col("kind_id").cast("bigint").alias("kind_id"), "n_items", "n_pieces", "n_bytes", "over", "cut")
+
+
+P8_PIECES_SQL = """WITH s AS (SELECT coalesce(octet_length(encode(text)), 0) AS size FROM documents WHERE doc_id IS NOT NULL), k AS (SELECT kind_id, capacity_tokens * 4 AS room FROM container_kind)
+SELECT CAST(kind_id AS BIGINT) AS kind_id, count(*) AS n_items, CAST(sum(greatest(1, ceil(size / room))) AS BIGINT) AS n_pieces, CAST(sum(size) AS BIGINT) AS n_bytes, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS cut FROM s, k GROUP BY 1"""
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> dict[str, tuple[float, int]]:
+    """Share and most repeats of each target source; shares of several spellings add up, and the greatest repeat holds."""
+    t = load(spark, sf_dir, "mix_target").select(name_key(F.col("source")).alias("s"), "target_share", "max_repeat").dropna()
+    got = t.groupBy("s").agg(F.sum("target_share").alias("share"), F.max("max_repeat").alias("most")).limit(10_001).collect()
+    if len(got) > 10_000:
         raise ValueError("more than 10,000 target sources")
-    return items, mixing.plan_mix(items, {r["s"]: (r["target_share"], r["max_repeat"]) for r in t})
+    return {r["s"]: (r["share"], r["most"]) for r in got}
+
+
+def _mix(spark: SparkSession, sf_dir: str, sizes=document_tokens):
+    targets = _targets(spark, sf_dir)
+    docs = sizes(spark, sf_dir).withColumn("source", name_key(F.col("source")))
+    items = materialize(mixing.of_sources(mixing.hashed(docs, "doc_id", "source", "tokens"), targets))
+    return items, mixing.plan_mix(items, targets)
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the mix, measured in bytes: each source's due share, that it is not exceeded and misses its size by less than the source's largest document, and that no document is repeated too often."""
+    items, plans = _mix(spark, sf_dir, document_bytes)
+    got = {r["source"]: r for r in mixing.shares(mixing.mix(items, plans), plans).collect()}  # one row a target
+    largest = {r["source"]: r["most"] for r in items.groupBy("source").agg(F.max("tokens").alias("most")).collect()}  # one row a target
+    due = sum(p.share for p in plans if p.available)
+    rows = [(p.source, round(p.share / due, 9), bool(got[p.source]["tokens"] <= p.wanted + 1e-6), bool(p.wanted - got[p.source]["tokens"] < max(1, largest[p.source])), bool(got[p.source]["max_copies"] <= p.max_repeat)) for p in plans if p.available]
+    return spark.createDataFrame(rows, "source string, due_share double, not_over boolean, reached boolean, repeats_kept boolean")
+
+
+_NAME = r"nullif(regexp_replace(regexp_replace(lower(source), '[\s\x{00a0}\x{feff}_\-\x{2010}-\x{2015}]+', '_', 'g'), '^_+|_+$', '', 'g'), '')"
+P9_KEPT_SQL = f"""WITH t AS (SELECT {_NAME} AS s, sum(target_share) AS share FROM mix_target WHERE target_share IS NOT NULL AND max_repeat IS NOT NULL GROUP BY 1), h AS (SELECT {_NAME} AS s, sum(octet_length(encode(text))) AS b FROM documents WHERE doc_id IS NOT NULL GROUP BY 1)
+SELECT s AS source, round(share / sum(share) OVER (), 9) AS due_share, TRUE AS not_over, TRUE AS reached, TRUE AS repeats_kept FROM t JOIN h USING (s) WHERE b > 0"""
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,9 +188,11 @@ QUERIES = {
     "p7_typical": p7_typical,
     "p8_containers": p8_containers,
     "p8_report": p8_report,
+    "p8_pieces": p8_pieces,
     "p9_mixture": p9_mixture,
     "p9_report": p9_report,
+    "p9_kept": p9_kept,
     "p10_found": p10_found,
     "p10_segments": p10_segments,
 }
-SQL: dict[str, str] = {"p6_found": P6_SQL, "p6_recall": P6_RECALL_SQL, "p7_found": P7_SQL, "p7_clusters": _P7 + "SELECT root AS cluster, count(*) AS n FROM m GROUP BY 1 HAVING count(*) >= 3"}
+SQL: dict[str, str] = {"p8_pieces": P8_PIECES_SQL, "p9_kept": P9_KEPT_SQL, "p6_found": P6_SQL, "p6_recall": P6_RECALL_SQL, "p7_found": P7_SQL, "p7_clusters": _P7 + "SELECT root AS cluster, count(*) AS n FROM m GROUP BY 1 HAVING count(*) >= 3"}

@@ -55,6 +55,24 @@ def test_thresholds_fill_without_exceeding(spark):
             assert taken <= budget and taken >= min(have, budget) - 8
 
 
+def test_many_sources_and_few_rows_of_a_histogram(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "HISTOGRAM_ROWS", 64)
+    rows = [(i, f"s{i % 40}", 1 + i % 7) for i in range(4000)]
+    it = mixing.hashed(spark.createDataFrame(rows, "id long, s string, n long"), "id", "s", "n")
+    got = mixing.thresholds(it, {f"s{i}": 150.0 for i in range(30)})
+    for i in range(30):
+        high, rest = got[f"s{i}"]
+        taken = it.filter((F.col("source") == f"s{i}") & (F.col("h") < high)).agg(F.sum("tokens")).first()[0]
+        assert taken + rest == 150 and 0 <= rest < 7
+
+
+def test_spellings_of_one_target_add_up(spark, tmp_path):
+    from minespark.llm import queries
+
+    spark.createDataFrame([("My Source", 0.25, 1), ("my_source", 0.25, 3), ("other", 0.5, 2), (None, 0.1, 1)], "source string, target_share double, max_repeat int").write.parquet(str(tmp_path / "mix_target.parquet"))
+    assert queries._targets(spark, str(tmp_path)) == {"my_source": (0.5, 3), "other": (0.5, 2)}
+
+
 def test_smaller_budgets_take_subsets(spark):
     it, _ = items(spark)
     low = mixing.thresholds(it, {"big": 1000})["big"][0]
