@@ -79,13 +79,15 @@ def feature_rows(features: DataFrame, entity: str, kind: str) -> DataFrame:
 
 
 def feature_columns(features: DataFrame, entity: str, kind: str, kinds: Sequence, values: Sequence[str] = ("n", "total", "recency_days")) -> DataFrame:
-    """One row per entity with columns <value>_<kind> for each given kind (one aggregation; counts and totals of absent kinds are 0)."""
-    aggs = []
+    """One row per entity with columns <value>_<kind> for each given kind (one pivot; counts and totals of absent kinds are 0)."""
+    cells = F.struct(*values)
+    wide = features.groupBy(entity).pivot(kind, list(kinds)).agg(F.first(cells))
+    cols = []
     for k in kinds:
         for v in values:
-            c = F.max(F.when(F.col(kind) == F.lit(k), F.col(v)))
-            aggs.append((F.coalesce(c, F.lit(0)) if v.startswith(("n", "total")) else c).alias(f"{v}_{k}"))
-    return features.groupBy(entity).agg(*aggs)
+            c = F.col(f"`{k}`")[v]
+            cols.append((F.coalesce(c, F.lit(0)) if v.startswith(("n", "total")) else c).alias(f"{v}_{k}"))
+    return wide.select(entity, *cols)
 
 
 def resolve_versions(rows: DataFrame, id_col: str, version: str, count_col: str, keep: Sequence[str]) -> DataFrame:

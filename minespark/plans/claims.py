@@ -52,10 +52,28 @@ def p1_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per beneficiary; ``by_kind`` is given as JSON text (a map from code to its features)."""
-    f = claim_features(spark, sf_dir, as_of="2013-12-31").withColumn("drg", K.code_text(F.col("drg")))
+    """One row per beneficiary; ``by_kind`` is given as text: code, number, total and recency of each code."""
+    f = claim_features(spark, sf_dir, windows=(), as_of="2013-12-31").withColumn("drg", K.code_text(F.col("drg")))
     rows = features.feature_rows(f, "k", "drg")
-    return rows.select(K.hex_text(F.col("k")).alias("desynpuf_id"), "n_kinds", "n", F.col("total").cast("double").alias("total"), "last_day", F.to_json("by_kind").alias("by_kind"))
+    kinds = F.transform(F.map_entries("by_kind"), lambda e: F.concat_ws(":", e["key"], e["value"]["n"].cast("string"), e["value"]["total"].cast("string"), e["value"]["recency_days"].cast("string")))
+    return rows.select(K.hex_text(F.col("k")).alias("desynpuf_id"), "n_kinds", "n", F.col("total").cast("double").alias("total"), "last_day", F.array_join(kinds, "|").alias("by_kind"))
+
+
+def p1_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per beneficiary with three columns for each of the hundreds of codes of ``drg_ref``: n_<code>, total_<code> and recency_days_<code>."""
+    codes = [r[0] for r in load(spark, sf_dir, "drg_ref").select(K.code_text(K.code_number(F.col("clm_drg_cd"))).alias("c")).distinct().orderBy("c").limit(10_000).collect()]
+    f = claim_features(spark, sf_dir, windows=(), as_of="2013-12-31").withColumn("drg", K.code_text(F.col("drg")))
+    rows = features.feature_columns(f, "k", "drg", codes)
+    return rows.select(K.hex_text(F.col("k")).alias("desynpuf_id"), *[c for c in rows.columns if c != "k"])
+
+
+def p1_column_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table folded again: for each code the beneficiaries that have it, their claims and payments, and the least recency."""
+    wide = p1_columns(spark, sf_dir)
+    codes = sorted({c[2:] for c in wide.columns if c.startswith("n_")})
+    cells = F.array(*[F.struct(F.lit(c).alias("clm_drg_cd"), F.col(f"n_{c}").alias("n"), F.col(f"total_{c}").alias("total"), F.col(f"recency_days_{c}").alias("r")) for c in codes])
+    long = wide.select(F.explode(F.filter(cells, lambda x: x["n"] > 0)).alias("x")).select("x.*")
+    return long.groupBy("clm_drg_cd").agg(F.count("*").alias("n_entities"), F.sum("n").alias("n"), F.sum("total").cast("double").alias("total"), F.min("r").alias("recency_days"))
 
 
 def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +160,7 @@ found AS (
   SELECT DISTINCT ref_table, ref_year, ref_key, CASE WHEN y0 IS NULL THEN 'missing' WHEN y1 < ref_year THEN 'deleted' ELSE 'later' END AS reason
   FROM refs LEFT JOIN life USING (k) WHERE k IS NOT NULL AND (y0 IS NULL OR ref_year NOT BETWEEN y0 AND y1))"""
 
-QUERIES = {"p1_found": p1_found, "p1_features": p1_features, "p1_entities": p1_entities, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_report": p5_report}
+QUERIES = {"p1_found": p1_found, "p1_features": p1_features, "p1_entities": p1_entities, "p1_columns": p1_columns, "p1_column_sums": p1_column_sums, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_report": p5_report}
 
 SQL = {
     "p1_found": f"WITH {_CLAIMS} SELECT k AS desynpuf_id, drg AS clm_drg_cd FROM claims GROUP BY 1, 2 HAVING count(*) >= 2",
@@ -150,7 +168,12 @@ SQL = {
 SELECT k AS desynpuf_id, drg AS clm_drg_cd, count(*) AS n, CAST(sum(CAST(coalesce(amt, 0) AS DECIMAL(18,2))) AS DOUBLE) AS total,
   CAST(date_diff('day', max(day), DATE '2013-12-31') AS INTEGER) AS recency_days,
   {", ".join(f"CAST(count(*) FILTER (day > DATE '2013-12-31' - {w}) AS BIGINT) AS n_{w}d, CAST(coalesce(sum(CAST(coalesce(amt, 0) AS DECIMAL(18,2))) FILTER (day > DATE '2013-12-31' - {w}), 0) AS DOUBLE) AS total_{w}d" for w in WINDOWS)}
-FROM claims WHERE day <= DATE '2013-12-31' GROUP BY 1, 2""",
+FROM claims WHERE day IS NULL OR day <= DATE '2013-12-31' GROUP BY 1, 2""",
+    "p1_entities": f"""WITH {_CLAIMS}, f AS (SELECT k, drg, count(*) AS n, sum(CAST(coalesce(amt, 0) AS DECIMAL(18,2))) AS total, max(day) AS last_day FROM claims WHERE day IS NULL OR day <= DATE '2013-12-31' GROUP BY 1, 2)
+SELECT k AS desynpuf_id, count(*) AS n_kinds, CAST(sum(n) AS BIGINT) AS n, CAST(sum(total) AS DOUBLE) AS total, max(last_day) AS last_day,
+  string_agg(concat_ws(':', drg, CAST(n AS VARCHAR), CAST(total AS VARCHAR), CAST(date_diff('day', last_day, DATE '2013-12-31') AS VARCHAR)), '|' ORDER BY drg) AS by_kind FROM f GROUP BY 1""",
+    "p1_column_sums": f"""WITH {_CLAIMS} SELECT drg AS clm_drg_cd, count(DISTINCT k) AS n_entities, count(*) AS n, CAST(sum(CAST(coalesce(amt, 0) AS DECIMAL(18,2))) AS DOUBLE) AS total, CAST(date_diff('day', max(day), DATE '2013-12-31') AS INTEGER) AS recency_days
+FROM claims WHERE (day IS NULL OR day <= DATE '2013-12-31') AND drg IN (SELECT {_DRG} FROM drg_ref) GROUP BY 1""",
     "p2_found": f"""WITH {_SNAP},
 runs AS (SELECT k, y, sp_diabetes AS v, y - row_number() OVER (PARTITION BY k ORDER BY y) AS run FROM snap),
 filled AS (SELECT k, y, run, last_value(v IGNORE NULLS) OVER (PARTITION BY k, run ORDER BY y) AS v FROM runs),

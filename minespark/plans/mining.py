@@ -273,6 +273,15 @@ def _sims(a: str, o: str) -> str:
 s AS (SELECT p.a, q.a AS b, sum(p.x * q.x) / (any_value(m.n) * any_value(k.n)) AS s FROM c p JOIN c q ON p.o = q.o AND p.a <> q.a JOIN nm m ON m.a = p.a JOIN nm k ON k.a = q.a GROUP BY 1, 2)"""
 
 
+def _predict_sql(r: str, a: str, o: str, how: str) -> str:
+    """Clipped predictions of all cells over the ratings ``r``."""
+    value = {"mean-utility": "avg(x)", "weighted-sum": "CASE WHEN abs(sum(s)) > 1e-12 THEN sum(x * s) / sum(s) END", "adjusted-weighted-sum": "any_value(ma) + CASE WHEN abs(sum(s)) > 1e-12 THEN sum((x - mb) * s) / sum(s) END"}[how]
+    return f"""WITH {r}, {_sims(a, o)}, mn AS (SELECT {a} AS a, avg(x) AS m FROM r GROUP BY 1), t AS (SELECT * FROM (SELECT DISTINCT u FROM r), (SELECT DISTINCT i FROM r)),
+k AS (SELECT t.u, t.i, r.x, round(coalesce(s.s, 0), 12) AS s, ma.m AS ma, mb.m AS mb, row_number() OVER (PARTITION BY t.u, t.i ORDER BY round(coalesce(s.s, 0), 12) DESC, r.{a}) AS n FROM t JOIN r ON r.{o} = t.{o} AND r.{a} <> t.{a}
+ LEFT JOIN s ON s.a = t.{a} AND s.b = r.{a} JOIN mn ma ON ma.a = t.{a} JOIN mn mb ON mb.a = r.{a} QUALIFY n <= 5), g AS (SELECT u, i, greatest(least({value}, 10), -10) AS pred FROM k GROUP BY 1, 2)
+SELECT t.u AS user, t.i AS item, round(pred, 5) AS pred FROM t LEFT JOIN g USING (u, i)"""
+
+
 for _kind, _a, _o in (("user", "u", "i"), ("item", "i", "u")):
 
     def _sim(spark, d, kind=_kind) -> DataFrame:
@@ -289,11 +298,7 @@ for _kind, _a, _o in (("user", "u", "i"), ("item", "i", "u")):
 
         _name = f"cf_{_kind}_{_how.replace('-', '_')}"
         QUERIES[_name] = _cf
-        _value = {"mean-utility": "avg(x)", "weighted-sum": "sum(x * s) / sum(s)", "adjusted-weighted-sum": "any_value(ma) + sum((x - mb) * s) / sum(s)"}[_how]
-        SQL[_name] = f"""WITH {_R}, {_sims(_a, _o)}, mn AS (SELECT {_a} AS a, avg(x) AS m FROM r GROUP BY 1), t AS (SELECT * FROM (SELECT DISTINCT u FROM r), (SELECT DISTINCT i FROM r)),
-k AS (SELECT t.u, t.i, r.x, coalesce(s.s, 0) AS s, ma.m AS ma, mb.m AS mb, row_number() OVER (PARTITION BY t.u, t.i ORDER BY coalesce(s.s, 0) DESC, r.{_a}) AS n FROM t JOIN r ON r.{_o} = t.{_o} AND r.{_a} <> t.{_a}
- LEFT JOIN s ON s.a = t.{_a} AND s.b = r.{_a} JOIN mn ma ON ma.a = t.{_a} JOIN mn mb ON mb.a = r.{_a})
-SELECT u AS user, i AS item, round(greatest(least({_value}, 10), -10), 5) AS pred FROM k WHERE n <= 5 GROUP BY 1, 2"""
+        SQL[_name] = _predict_sql(_R, _a, _o, _how)
 
 
 def customer_ratings(spark, d) -> DataFrame:
@@ -306,13 +311,21 @@ def customer_ratings(spark, d) -> DataFrame:
     return materialize(j.groupBy("user", "item").agg(F.round(F.avg("l_discount") * 100, 4).alias("rating")))
 
 
-@query()
+_CR = """r AS (SELECT o_custkey AS u, p_brand AS i, round(avg(l_discount) * 100, 4) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
+
+
+def _similar_sql(r: str, a: str, o: str) -> str:
+    """Similarities of all pairs that share something; NULL where a vector is constant."""
+    return f"WITH {r}, {_sims(a, o).replace('sum(p.x * q.x) / (any_value(m.n) * any_value(k.n))', 'CASE WHEN round(any_value(m.n) * any_value(k.n), 12) > 0 THEN sum(p.x * q.x) / (any_value(m.n) * any_value(k.n)) END')} SELECT a, b, round(s, 6) AS sim FROM s"
+
+
+@query(_similar_sql(_CR, "u", "i"))
 def cf_customers_user_similarity(spark, d) -> DataFrame:
     s = recommend.similarity_in_blocks(customer_ratings(spark, d), "user")
     return s.select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query()
+@query(_similar_sql(_CR, "i", "u"))
 def cf_customers_item_similarity(spark, d) -> DataFrame:
     s = recommend.similarity(customer_ratings(spark, d), "item")
     return s.select("a", "b", F.round("sim", 6).alias("sim"))
@@ -325,6 +338,7 @@ for _method in recommend.METHODS:
         return recommend.recommend(r, recommend.all_cells(r), method, blocks=method.startswith("user")).select("user", "item", F.round("pred", 5).alias("pred"))
 
     QUERIES[f"cf_customers_{_method.replace('-', '_')}"] = _cf_customers
+    SQL[f"cf_customers_{_method.replace('-', '_')}"] = _predict_sql(_CR, "ui"[_method.startswith("item")], "ui"[_method.startswith("user")], _method.split("-", 1)[1])
 
 
 @query()
@@ -450,10 +464,10 @@ def pagerank_undirected(spark, d) -> DataFrame:
     return r.select("id", F.round("pr", 8).alias("pr"))
 
 
-@query()
+@query(_pr_sql(_E, rounds=40).replace("0.85 * ", "0.5 * ").replace("0.15 / ", "0.5 / ").replace("SELECT id, round(p, 8) AS pr FROM p40", "SELECT CAST(row_number() OVER (ORDER BY p DESC, id) AS INTEGER) AS rank, id, round(p, 5) AS pr FROM p40"))
 def pagerank_converged(spark, d) -> DataFrame:
     r, _ = pagerank.pagerank(trade_edges(spark, d), d=0.5)
-    return pagerank.report(r)
+    return pagerank.report(r).withColumn("pr", F.round("pr", 5))
 
 
 # -- exploration queries -----------------------------------------------------
