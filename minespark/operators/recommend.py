@@ -186,9 +186,17 @@ def recommend(r: DataFrame, targets: DataFrame, method: str, n: int | None = 5,
     return predict(r, targets, kind, how, n, blocks=blocks)
 
 
-def all_cells(r: DataFrame) -> DataFrame:
-    """Every user with every item: what the prediction of the whole matrix is asked for."""
-    return r.select("user").distinct().crossJoin(r.select("item").distinct())
+def all_cells(r: DataFrame, most_items: int = 10_000) -> DataFrame:
+    """Every user with every item: what the prediction of the whole matrix is asked for.
+
+    Each user is given the list of items; ValueError beyond ``most_items`` of
+    them, where the whole matrix is no sensible target.
+    """
+    items = [x[0] for x in r.select("item").distinct().orderBy("item").limit(most_items + 1).collect()]
+    if len(items) > most_items:
+        raise ValueError(f"more than {most_items} items")
+    kind = r.schema["item"].dataType.simpleString()
+    return r.select("user").distinct().withColumn("item", F.explode(F.array(*[F.lit(x) for x in items]).cast(f"array<{kind}>")))
 
 
 def evaluate_list(r: DataFrame, cells: DataFrame, method: str, n: int | None = 5) -> DataFrame:

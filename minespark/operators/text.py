@@ -134,13 +134,15 @@ def okapi_weights(x: DataFrame, lengths: DataFrame, n_docs: int, k1: float = 1.5
     return y.select("doc", "term", own.alias("w")), x.select("doc", "term", ((k2 + 1) * F.col("f") / (k2 + F.col("f"))).alias("w"))
 
 
-def most_similar(queries: DataFrame, docs: DataFrame, k: int, n_queries: int, n_docs: int, query_block: int = 500, doc_block: int = 4000) -> DataFrame:
+def most_similar(queries: DataFrame, docs: DataFrame, k: int, n_queries: int, n_docs: int, query_block: int = 5000, doc_block: int = 2000) -> DataFrame:
     """(query, doc, score, rank): the k documents with the greatest sum of products over common terms, for a stated set of queries.
 
-    Both sides are (doc BIGINT, term, w).  Blocks of queries meet blocks of
-    documents as sparse matrices; only each query's k best leave a block, so
-    frequent terms make no pairs.  A document is not compared with itself; ties
-    (to ten digits) go to the smaller id; documents without a common term are none.
+    Both sides are (doc BIGINT, term, w).  Blocks of queries, as lists of their
+    terms, meet blocks of documents; only each query's k best leave a block, so
+    frequent terms make no pairs, and a task's memory is that of the blocks'
+    entries and some rows of scores.  A document is not compared with itself;
+    ties (to ten digits) go to the smaller id; documents without a common term
+    are none.
     """
     nq, nd = max(1, -(-n_queries // query_block)), max(1, -(-n_docs // doc_block))
 
@@ -151,36 +153,100 @@ def most_similar(queries: DataFrame, docs: DataFrame, k: int, n_queries: int, n_
     q = packed(queries, "q").withColumn("qb", F.pmod(F.xxhash64("qdoc"), F.lit(nq)).cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
     d = packed(docs, "d").withColumn("db", F.pmod(F.xxhash64("ddoc"), F.lit(nd)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
+    def entries(ts: pd.Series, ws: pd.Series) -> tuple[np.ndarray, list, np.ndarray]:
+        """(row, term, weight) of every entry."""
+        n = ts.map(len).to_numpy()
+        return np.repeat(np.arange(len(ts)), n), [t for x in ts for t in x], np.concatenate([np.asarray(w, dtype=np.float64) for w in ws]) if n.sum() else np.zeros(0)
+
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query": [], "doc": [], "score": []})
+        ai, at, aw = entries(a["qts"], a["qws"])
         vocab: dict[str, int] = {}
-        ti = np.fromiter((vocab.setdefault(t, len(vocab)) for ts in a["qts"] for t in ts), dtype=np.int64)
-        m = np.zeros((len(vocab), len(a)))
-        m[ti, np.repeat(np.arange(len(a)), [len(x) for x in a["qts"]])] = np.concatenate([np.asarray(w) for w in a["qws"]])
-        on = np.zeros_like(m, dtype=bool)
-        on[ti, np.repeat(np.arange(len(a)), [len(x) for x in a["qts"]])] = True
+        code = np.fromiter((vocab.setdefault(t, len(vocab)) for t in at), dtype=np.int64, count=len(at))
+        order = np.argsort(code, kind="stable")  # the queries of each term
+        ai, aw = ai[order], aw[order]
+        first = np.searchsorted(code[order], np.arange(len(vocab) + 1))
+        bi, bt, bw = entries(b["dts"], b["dws"])
+        known = np.fromiter((vocab.get(t, -1) for t in bt), dtype=np.int64, count=len(bt))
+        on = known >= 0
+        bi, known, bw = bi[on], known[on], bw[on]
         qid, did = a["qdoc"].to_numpy(), b["ddoc"].to_numpy()
-        score, hit = np.zeros((len(b), len(a))), np.zeros((len(b), len(a)), dtype=bool)
-        for i, (ts, ws) in enumerate(zip(b["dts"], b["dws"])):
-            at = [(vocab[t], w) for t, w in zip(ts, ws) if t in vocab]
-            if at:
-                rows = [x for x, _ in at]
-                score[i] = np.array([w for _, w in at]) @ m[rows]
-                hit[i] = on[rows].any(0)
-        hit &= did[:, None] != qid[None, :]
-        di, qi = np.nonzero(hit)
-        s = score[di, qi]
-        order = np.lexsort((did[di], -np.round(s, 10), qi))
-        di, qi, s = di[order], qi[order], s[order]
-        best = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < k
-        return pd.DataFrame({"query": qid[qi[best]], "doc": did[di[best]], "score": s[best]})
+        rows = max(1, 2_000_000 // len(a))
+        out = []
+        for i in range(0, len(b), rows):
+            lo, hi = np.searchsorted(bi, [i, i + rows])
+            n = min(rows, len(b) - i)
+            score, hits = np.zeros(n * len(a)), np.zeros(n * len(a), dtype=bool)
+            while lo < hi:  # some entries at a time
+                width = first[known[lo:hi] + 1] - first[known[lo:hi]]
+                step = max(1, int(np.searchsorted(np.cumsum(width), 4_000_000, side="right")))
+                c, w = known[lo : lo + step], width[:step]
+                at_ = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(first[c], w)
+                cell = np.repeat(bi[lo : lo + step] - i, w) * len(a) + ai[at_]
+                score += np.bincount(cell, weights=np.repeat(bw[lo : lo + step], w) * aw[at_], minlength=len(score))
+                hits[cell] = True
+                lo += step
+            cell = np.flatnonzero(hits)
+            di, qi, s = cell // len(a), cell % len(a), score[cell]
+            other = did[i + di] != qid[qi]
+            di, qi, s = di[other], qi[other], s[other]
+            out.append(_best(qi, did[i + di], s, k))
+        qi, doc, s = (np.concatenate(x) for x in zip(*out))
+        qi, doc, s = _best(qi, doc, s, k)
+        return pd.DataFrame({"query": qid[qi], "doc": doc, "score": s})
 
     part = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(meet, "query bigint, doc bigint, score double")
     w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 10)), "doc")
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _best(qi: np.ndarray, doc: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k greatest of each query's scores, equal ones by document."""
+    order = np.lexsort((doc, -np.round(s, 10), qi))
+    qi, doc, s = qi[order], doc[order], s[order]
+    on = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < k
+    return qi[on], doc[on], s[on]
+
+
+class Corpus:
+    """Documents as term frequencies: fitted, copied, pulled, taken out and written.
+
+    Weights are those of the documents held, so a document taken out counts for
+    nothing in the weights of the others.
+    """
+
+    def __init__(self, tf: DataFrame):
+        self.tf = tf.select("doc", "term", "f")
+
+    @classmethod
+    def fit(cls, docs: DataFrame, doc: str, text: str, stemmed: bool = True, stopwords: DataFrame | None = None) -> Corpus:
+        return cls(materialize(term_frequencies(docs, doc, text, stemmed, stopwords)))
+
+    def copy(self) -> Corpus:
+        return Corpus(self.tf)
+
+    def weights(self) -> DataFrame:
+        return tf_idf(self.tf, self.tf.agg(F.count_distinct("doc").alias("n")))
+
+    def pull(self, doc) -> DataFrame:
+        """(term, w) of one document."""
+        return self.weights().filter(F.col("doc") == F.lit(doc)).select("term", "w")
+
+    def pull_all(self) -> DataFrame:
+        """(doc, term, w) of all documents."""
+        return self.weights().select("doc", "term", "w")
+
+    def rm(self, docs: list) -> Corpus:
+        """The corpus without some documents."""
+        return Corpus(corpus_without(self.tf, docs))
+
+    def to_json(self, path: str) -> None:
+        from minespark.sources.writers import corpus_json
+
+        corpus_json(self.pull_all(), path)
+
+
 def knn_authors(near: DataFrame, authors: DataFrame) -> DataFrame:
     """(query, obs, pred): the most frequent author of each query's neighbours, the smallest on ties.  ``authors``: doc, author."""
     a = near.join(authors, "doc").groupBy("query").agg(F.mode("author", True).alias("pred"))

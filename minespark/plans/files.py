@@ -176,6 +176,16 @@ def vector_json_file(spark, d) -> DataFrame:
     return readers.vectors_json(spark, path).select("doc", F.explode("terms").alias("term", "w")).withColumn("w", F.round("w", 7))
 
 
+@query(f"WITH {_PART_TF.replace('FROM part)', 'FROM part WHERE p_partkey % 7 <> 0)')}, x AS (SELECT doc, term, f / max(f) OVER (PARTITION BY doc) * log2((SELECT count(DISTINCT doc) FROM tf) / count(*) OVER (PARTITION BY term)) AS w FROM tf) SELECT CAST(doc AS VARCHAR) AS doc, term, round(w, 7) AS w FROM x")
+def corpus_without_documents(spark, d) -> DataFrame:
+    """A corpus fitted on all names of parts, copied, every seventh taken out, written and read again."""
+    whole = text.Corpus.fit(load(spark, d, "part"), "p_partkey", "p_name", stemmed=False)
+    out = [r[0] for r in load(spark, d, "part").filter("p_partkey % 7 = 0").select("p_partkey").collect()]
+    path = place(spark, "corpus")
+    whole.copy().rm(out).to_json(path)
+    return readers.vectors_json(spark, path).select("doc", F.explode("terms").alias("term", "w")).withColumn("w", F.round("w", 7))
+
+
 @query("SELECT n_name AS n1, CAST(n_nationkey AS VARCHAR) AS v1, r_name AS n2, CAST(r_regionkey AS VARCHAR) AS v2 FROM nation JOIN region ON n_regionkey = r_regionkey")
 def edge_file(spark, d) -> DataFrame:
     n = load(spark, d, "nation").join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
