@@ -149,7 +149,7 @@ class Model:
             return np.zeros((0, len(self.languages))), total
         s1, s2 = _slots(h)
         mask = self.table[s1] & self.table[s2]
-        raw = np.stack([np.add.reduceat((mask >> np.uint8(b)) & np.uint8(1), starts, dtype=np.int32) for b in range(len(self.languages))], axis=1)
+        raw = np.stack([np.add.reduceat((mask >> mask.dtype.type(b)) & mask.dtype.type(1), starts, dtype=np.int32) for b in range(len(self.languages))], axis=1)
         return np.clip((raw - total[:, None] * self.false_rate) / (1 - self.false_rate), 0, None), total
 
     def decide(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -170,40 +170,48 @@ class Model:
         return doc, words, best, lead, top / np.maximum(total, 1)
 
 
-def _learn(h: np.ndarray, lang: np.ndarray, min_count: int, ratio: float) -> Model:
+def mask_type(languages: Sequence[str]) -> type:
+    """The smallest unsigned type with a bit for each language; there may be at most 64."""
+    for bits, kind in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)):
+        if len(languages) <= bits:
+            return kind
+    raise ValueError("more than 64 languages")
+
+
+def _learn(h: np.ndarray, lang: np.ndarray, min_count: int, ratio: float, languages: Sequence[str]) -> Model:
     """Filters of the n-grams whose rate in a language is at least ``ratio`` of their highest rate in any."""
-    k = len(LANGUAGES)
+    k, kind = len(languages), mask_type(languages)
     ok = lang >= 0
     h, lang = h[ok], lang[ok]
     grams, inv = np.unique(h, return_inverse=True)
     n = np.bincount(inv * k + lang, minlength=len(grams) * k).reshape(-1, k).astype(np.float64)
     rate = n / np.maximum(n.sum(axis=0), 1)
     typical = (n >= min_count) & (rate >= ratio * rate.max(axis=1, keepdims=True))
-    table = np.zeros(1 << TABLE_BITS, dtype=np.uint8)
+    table = np.zeros(1 << TABLE_BITS, dtype=kind)
     s1, s2 = _slots(grams)
     for b in range(k):
         on = typical[:, b]
-        table[s1[on]] |= np.uint8(1 << b)
-        table[s2[on]] |= np.uint8(1 << b)
-    fill = np.array([((table >> np.uint8(b)) & 1).mean() for b in range(k)])
-    return Model(table, fill**2)
+        table[s1[on]] |= kind(1 << b)
+        table[s2[on]] |= kind(1 << b)
+    fill = np.array([((table >> kind(b)) & kind(1)).mean() for b in range(k)])
+    return Model(table, fill**2, tuple(languages))
 
 
-def fit(texts: Sequence[str], labels: Sequence[str], min_count: int = 2, ratio: float = 0.25) -> Model:
-    """A model from labelled texts; labels not among LANGUAGES are passed over."""
-    at = {c: i for i, c in enumerate(LANGUAGES)}
+def fit(texts: Sequence[str], labels: Sequence[str], min_count: int = 2, ratio: float = 0.25, languages: Sequence[str] = LANGUAGES) -> Model:
+    """A model from labelled texts; labels not among the ``languages`` (at most 64) are passed over."""
+    at = {c: i for i, c in enumerate(languages)}
     lab = np.array([at.get(x, -1) for x in labels], dtype=np.int64)
     h, starts, doc, words = sentence_grams(texts)
     size = np.diff(np.append(starts, len(h)))
-    model = _learn(h, np.repeat(lab[doc], size) if len(starts) else np.zeros(0, dtype=np.int64), min_count, ratio)
+    model = _learn(h, np.repeat(lab[doc], size) if len(starts) else np.zeros(0, dtype=np.int64), min_count, ratio, languages)
     for _ in range(2):  # learn again from what the sentences themselves turned out to be
         _, words, best, lead, known = model.decide(texts)
         sure = (lead > 0.3) & (known > 0.3)
-        votes = np.zeros((len(texts), len(LANGUAGES)))
+        votes = np.zeros((len(texts), len(languages)))
         np.add.at(votes, (doc[sure], best[sure]), words[sure])
         main = np.where(votes.max(axis=1) > 0, votes.argmax(axis=1), lab)  # what an undecided sentence counts as
         own = np.where(sure, best, main[doc])
-        model = _learn(h, np.repeat(own, size), min_count, ratio) if len(starts) else model
+        model = _learn(h, np.repeat(own, size), min_count, ratio, languages) if len(starts) else model
     return model
 
 

@@ -113,3 +113,18 @@ def test_held_out_documents(spark):
     got = langid.languages_of(d.filter("length(text) between 200 and 3000").withColumn("said", langid.label_code(F.col("lang"))).filter("said is not null"), "doc_id", "text", m, carry="said")
     top = got.groupBy("doc_id").agg(F.max_by("lang_code", "n_words").alias("top"), F.first("said").alias("said"))
     assert top.agg(F.avg((F.col("top") == F.col("said")).cast("double"))).first()[0] > 0.9
+
+
+def test_more_than_eight_languages():
+    rng = np.random.default_rng(11)
+    codes = [f"l{i}" for i in range(19)]
+    known = {c: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(4, 9))) for _ in range(60)] for c in codes}
+    say = lambda c: " ".join(rng.choice(known[c], 12)) + "."
+    labels = [c for c in codes for _ in range(30)]
+    m = langid.fit([" ".join(say(c) for _ in range(4)) for c in labels], labels, languages=codes)
+    assert m.table.dtype == np.uint32 and m.languages == tuple(codes)
+    texts = [say(c) for c in codes]
+    doc, words, best, _, _ = m.decide(texts)
+    assert {(d, codes[b]) for d, n, b in zip(doc, words, best) if n > 5} == set(enumerate(codes))
+    with pytest.raises(ValueError):
+        langid.mask_type(["x"] * 65)
