@@ -8,7 +8,7 @@ joined to its one-row minimum without moving them to one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from minespark.operators.rows import HEAVY_ROWS, skew_join
@@ -27,6 +27,14 @@ def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     return out.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written edges; their number and two sums of their hashes, taken while they are written."""
+    seen = Observation()
+    h = F.xxhash64("u", "v")
+    out = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s")))
+    return out, (seen.get["n"], seen.get["x"], seen.get["s"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): every node of the undirected edges (BIGINT ends) with its component's smallest node.
 
@@ -35,17 +43,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     raw = edges.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).dropna()
     loops = raw.filter("u = v").select(F.col("u").alias("node")).distinct()
-    cur = materialize(raw.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state, n = None, cur.count()
+    cur, seen = _written(raw.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state, n = None, seen[0]
     for _ in range(max_rounds):
         big = materialize(_star(cur, True, n))
-        new = materialize(_star(big, False, n))
-        row = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        new, row = _written(_star(big, False, n))
         release(cur, big)
         cur = new
-        if tuple(row) == state:
+        if row == state:
             break
-        state, n = tuple(row), row[0]
+        state, n = row, row[0]
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     tips = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))

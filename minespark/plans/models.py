@@ -362,6 +362,18 @@ def farthest_first_start(spark, d) -> DataFrame:
     return spark.createDataFrame([tuple(map(float, x)) for x in c], "x double, y double").select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+_LLOYD = _FAR + ", c0 AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS c, x, y FROM (" + " UNION ALL ".join(f"SELECT {i} AS ord, x, y FROM f{i}" + (f" WHERE id NOT IN (SELECT id FROM f{i - 1})" if i else "") for i in range(4)) + "))" + "".join(
+    f", a{i} AS MATERIALIZED (SELECT z.id, z.x, z.y, min_by(c.c, [round(sqrt((z.x - c.x)**2 + (z.y - c.y)**2), 12), c.c]) AS c FROM z, c{i} c GROUP BY 1, 2, 3), c{i + 1} AS MATERIALIZED (SELECT c, avg(x) AS x, avg(y) AS y FROM a{i} GROUP BY 1)" for i in range(60)
+)
+
+
+@query(f"WITH {_LLOYD} SELECT CAST(a.c AS INTEGER) AS cluster, count(*) AS n, round(max(sqrt((a.x - c.x)**2 + (a.y - c.y)**2)), 3) AS max_err FROM a59 a JOIN c59 c USING (c) GROUP BY 1")
+def kmeans_converged(spark, d) -> DataFrame:
+    """Four clusters from the farthest points, moved until memberships repeat."""
+    m = clustering.kmeans(M._customer_points(spark, d), 4)
+    return clustering.cluster_stats(m.assigned).select("cluster", "n", F.round("max_err", 3).alias("max_err"))
+
+
 @query(f"WITH {_Z} SELECT round(x, 6) AS x, round(y, 6) AS y FROM z ORDER BY {lot_sql(2, 'id')}, id LIMIT 3")
 def random_start_points(spark, d) -> DataFrame:
     c = clustering.random_start(M._customer_points(spark, d), 3, seed=2)

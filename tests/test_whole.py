@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from minespark import scratch
-from minespark.operators import assoc, features, nested, references, snapshots
+from minespark.operators import assoc, features, nested, references, rows, snapshots
 from minespark.sources import nested_json, readers, writers
 
 
@@ -20,8 +20,8 @@ def test_json_wrapped_in_strings_however_often():
 
 
 def test_lists_in_lists_have_tables_of_their_own(spark):
-    rows = [(1, json.dumps({"edges": [[{"v": 1}, {"v": 2, "more": [[{"w": 3}]]}], {"v": 4}, [[5]]]}))]
-    plan, out = nested.shred(spark.createDataFrame(rows, "k long, t string"), "k", "t")
+    data = [(1, json.dumps({"edges": [[{"v": 1}, {"v": 2, "more": [[{"w": 3}]]}], {"v": 4}, [[5]]]}))]
+    plan, out = nested.shred(spark.createDataFrame(data, "k long, t string"), "k", "t")
     assert {"edges", "edges[]", "edges[][]", "more", "more[]"} <= set(plan.tables)
     inner = {r.id: (r.parent_table, r.parent_id, r.v) for r in nested.flat_table(plan, out, "k", "edges[]").collect()}
     assert inner == {"0.0.0": ("edges", "0.0", "1"), "0.0.1": ("edges", "0.0", "2"), "0.2.0": ("edges", "0.2", None)}
@@ -72,11 +72,11 @@ def test_wide_term_table_and_back(spark, tmp_path):
 
 
 def test_leaves_follow_the_number_of_keys(spark):
-    rows = spark.range(3000).select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("p")).withColumn("v", F.when((F.col("id") % 50 == 0) & (F.col("p") == 2), 1).otherwise(0))
+    data = spark.range(3000).select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("p")).withColumn("v", F.when((F.col("id") % 50 == 0) & (F.col("p") == 2), 1).otherwise(0))
     want = {(i, 2, "changed") for i in range(0, 3000, 50)}
     for bits in (None, 3, 4, 7, 12):
-        assert {tuple(r) for r in snapshots.snapshot_diff(rows, "id", "p", ["v"], leaf_bits=bits).collect()} == want
-    assert snapshots.snapshot_diff(rows.filter("id < 3"), "id", "p", ["v"]).count() == 1
+        assert {tuple(r) for r in snapshots.snapshot_diff(data, "id", "p", ["v"], leaf_bits=bits).collect()} == want
+    assert snapshots.snapshot_diff(data.filter("id < 3"), "id", "p", ["v"]).count() == 1
 
 
 def test_a_filter_that_would_be_full_is_not_used(spark, monkeypatch):
@@ -89,3 +89,13 @@ def test_a_filter_that_would_be_full_is_not_used(spark, monkeypatch):
 
 def test_intermediate_tables_go_to_the_named_folder(spark):
     assert scratch.shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_hot_keys_with_many_rows_on_the_other_side(spark, monkeypatch):
+    monkeypatch.setattr(rows, "BROADCAST_ROWS", 5)
+    left = spark.range(4000).select((F.col("id") % 4).alias("k"), F.col("id").alias("x"))
+    right = spark.range(40).select((F.col("id") % 5).alias("k"), F.col("id").alias("y"))
+    for how in ("inner", "left", "left_semi"):
+        got = rows.skew_join(left, right, "k", how, hot=[0, 1])
+        want = left.join(right, "k", how)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
