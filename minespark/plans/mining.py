@@ -341,13 +341,6 @@ for _method in recommend.METHODS:
     SQL[f"cf_customers_{_method.replace('-', '_')}"] = _predict_sql(_CR, "ui"[_method.startswith("item")], "ui"[_method.startswith("user")], _method.split("-", 1)[1])
 
 
-@query()
-def cf_evaluation(spark, d) -> DataFrame:
-    r = customer_ratings(spark, d)
-    e = recommend.evaluate_list(r, recommend.sample_cells(r, 100, seed=4), "user-adjusted-weighted-sum")
-    return evaluate.cf_report(e)
-
-
 # -- text --------------------------------------------------------------------
 
 

@@ -430,6 +430,13 @@ def hclust_cut(spark, d) -> DataFrame:
     return spark.createDataFrame([(min(c), len(c)) for c in t.cut(6, "nclust")], "first_leaf int, n long")
 
 
+@query(_CUT.replace("step < (SELECT count(*) FROM z) - 6", "height <= 0.8") + " SELECT CAST(min(id) AS INTEGER) AS first_leaf, count(*) AS n FROM t GROUP BY top")
+def hclust_cut_height(spark, d) -> DataFrame:
+    """The clusters of nations below a height."""
+    _, t = nation_tree(spark, d, "average")
+    return spark.createDataFrame([(min(c), len(c)) for c in t.cut(0.8)], "first_leaf int, n long")
+
+
 @query(f"WITH {_NATIONS}, {merges_sql('average')} SELECT round(height, 7) AS height, row_number() OVER (ORDER BY height DESC) AS place FROM ({_MERGES})")
 def hclust_heights(spark, d) -> DataFrame:
     _, t = nation_tree(spark, d, "average")
@@ -448,9 +455,9 @@ def beneficiary_hclust(spark, d) -> DataFrame:
 # -- recommendation lists -----------------------------------------------------------
 
 
-def _listed_sql(cells: str) -> str:
+def _listed_sql(cells: str, ratings: str = M._R) -> str:
     """Ratings among the listed users and items, and the adjusted weighted sums of the listed cells."""
-    r = M._R.replace("r AS (", "whole AS (", 1)
+    r = ratings.replace("r AS (", "whole AS (", 1)
     return f"""{r}, cells AS MATERIALIZED ({cells}), r AS MATERIALIZED (SELECT * FROM whole WHERE u IN (SELECT u FROM cells) AND i IN (SELECT i FROM cells)), {M._sims("u", "i")}, mn AS (SELECT u AS a, avg(x) AS m FROM r GROUP BY 1),
 k AS (SELECT t.u, t.i, r.x, coalesce(s.s, 0) AS s, ma.m AS ma, mb.m AS mb, row_number() OVER (PARTITION BY t.u, t.i ORDER BY coalesce(s.s, 0) DESC, r.u) AS n FROM cells t JOIN r ON r.i = t.i AND r.u <> t.u LEFT JOIN s ON s.a = t.u AND s.b = r.u JOIN mn ma ON ma.a = t.u JOIN mn mb ON mb.a = r.u),
 g AS (SELECT u, i, greatest(least(CASE WHEN abs(sum(s)) > 1e-12 THEN any_value(ma) + sum((x - mb) * s) / sum(s) END, 10), -10) AS pred FROM k WHERE n <= 5 GROUP BY 1, 2),
@@ -476,6 +483,19 @@ def cf_listed_report(spark, d) -> DataFrame:
     return evaluate.cf_report(e).select("tp", "fp", "fn", "tn", F.round("mae", 5).alias("mae"))
 
 
+_CF_REPORT = """c2 AS (SELECT rating >= 5 AS o, coalesce(pred >= 5, FALSE) AS p, abs(rating - pred) AS e FROM j), c3 AS (SELECT count(*) FILTER (o AND p) AS tp, count(*) FILTER (NOT o AND p) AS fp, count(*) FILTER (o AND NOT p) AS fn, count(*) FILTER (NOT o AND NOT p) AS tn, avg(e) AS mae FROM c2),
+c4 AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 1.0) AS pr, coalesce(tp / nullif(tp + fn, 0), 1.0) AS re FROM c3)
+SELECT tp, fp, fn, tn, round(mae, 5) AS mae, round(pr, 6) AS precision, round(re, 6) AS recall, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0.0), 6) AS f1 FROM c4"""
+
+
+@query(f"WITH {_listed_sql(_CELLS.format(lot=lot_sql(4, chr(117) + ' || ' + chr(39) + ':' + chr(39) + ' || i'), n=100), M._CR)}, {_CF_REPORT}")
+def cf_evaluation(spark, d) -> DataFrame:
+    """A hundred rated cells of all customers and brands."""
+    r = M.customer_ratings(spark, d)
+    e = evaluate.cf_report(recommend.evaluate_list(r, recommend.sample_cells(r, 100, seed=4), "user-adjusted-weighted-sum"))
+    return e.select("tp", "fp", "fn", "tn", F.round("mae", 5).alias("mae"), *[F.round(c, 6).alias(c) for c in ("precision", "recall", "accuracy", "f1")])
+
+
 @query(" UNION ALL ".join(f"SELECT {i} AS repeat, * FROM (WITH {_listed_sql(_CELLS.format(lot=lot_sql(10 + i, chr(117) + ' || ' + chr(39) + ':' + chr(39) + ' || i'), n=40))} SELECT u AS user, i AS item, rating, round(pred, 5) AS pred FROM j)" for i in range(2)))
 def cf_random_repeats(spark, d) -> DataFrame:
     """Two random samples of 40 rated cells, each evaluated by itself."""
