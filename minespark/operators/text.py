@@ -36,7 +36,8 @@ def term_frequencies(docs: DataFrame, doc: str, text: str, stemmed: bool = True,
         long = long.withColumn("ts", F.filter("ts", lambda x: ~x.isin(words)))
     if stemmed:
         long = long.withColumn("ts", stems(F.col("ts")))
-    return long.select("doc", F.explode("ts").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("f"))
+    # an inner explode would have the words made twice more, for a filter of empty lists
+    return long.select("doc", F.explode_outer("ts").alias("term")).filter(F.col("term").isNotNull()).groupBy("doc", "term").agg(F.count("*").alias("f"))
 
 
 def substring_frequencies(docs: DataFrame, doc: str, text: str, vocabulary: DataFrame | list[str], stemmed: bool = True, most_words: int = 1_000_000) -> DataFrame:
