@@ -64,7 +64,7 @@ def p1_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = [r[0] for r in load(spark, sf_dir, "drg_ref").select(K.code_text(K.code_number(F.col("clm_drg_cd"))).alias("c")).distinct().orderBy("c").limit(10_000).collect()]
     f = claim_features(spark, sf_dir, windows=(), as_of="2013-12-31").withColumn("drg", K.code_text(F.col("drg")))
     rows = features.feature_columns(f, "k", "drg", codes)
-    return rows.select(K.hex_text(F.col("k")).alias("desynpuf_id"), *[c for c in rows.columns if c != "k"])
+    return rows.select(K.hex_text(F.col("k")).alias("desynpuf_id"), *[F.col(c).cast("double").alias(c) for c in rows.columns if c != "k"])
 
 
 def p1_column_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,8 @@ def p1_column_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = sorted({c[2:] for c in wide.columns if c.startswith("n_")})
     cells = F.array(*[F.struct(F.lit(c).alias("clm_drg_cd"), F.col(f"n_{c}").alias("n"), F.col(f"total_{c}").alias("total"), F.col(f"recency_days_{c}").alias("r")) for c in codes])
     long = wide.select(F.explode(F.filter(cells, lambda x: x["n"] > 0)).alias("x")).select("x.*")
-    return long.groupBy("clm_drg_cd").agg(F.count("*").alias("n_entities"), F.sum("n").alias("n"), F.sum("total").cast("double").alias("total"), F.min("r").alias("recency_days"))
+    total = F.sum(F.col("total").cast("decimal(28,2)")).cast("double")
+    return long.groupBy("clm_drg_cd").agg(F.count("*").alias("n_entities"), F.sum("n").cast("bigint").alias("n"), total.alias("total"), F.min("r").cast("int").alias("recency_days"))
 
 
 def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +173,11 @@ FROM claims WHERE day IS NULL OR day <= DATE '2013-12-31' GROUP BY 1, 2""",
     "p1_entities": f"""WITH {_CLAIMS}, f AS (SELECT k, drg, count(*) AS n, sum(CAST(coalesce(amt, 0) AS DECIMAL(18,2))) AS total, max(day) AS last_day FROM claims WHERE day IS NULL OR day <= DATE '2013-12-31' GROUP BY 1, 2)
 SELECT k AS desynpuf_id, count(*) AS n_kinds, CAST(sum(n) AS BIGINT) AS n, CAST(sum(total) AS DOUBLE) AS total, max(last_day) AS last_day,
   string_agg(concat_ws(':', drg, CAST(n AS VARCHAR), CAST(total AS VARCHAR), CAST(date_diff('day', last_day, DATE '2013-12-31') AS VARCHAR)), '|' ORDER BY drg) AS by_kind FROM f GROUP BY 1""",
+    "p1_columns": f"""WITH {_CLAIMS}, f AS (SELECT k, drg, count(*) AS n, sum(CAST(coalesce(amt, 0) AS DECIMAL(18,2))) AS total, max(day) AS last_day FROM claims WHERE day IS NULL OR day <= DATE '2013-12-31' GROUP BY 1, 2),
+ref AS (SELECT DISTINCT {_DRG} AS code FROM drg_ref), g AS (SELECT * FROM f WHERE drg IN (SELECT code FROM ref)),
+long AS (SELECT k, 'n_' || drg AS c, CAST(n AS DOUBLE) AS v FROM g UNION ALL SELECT k, 'total_' || drg, CAST(total AS DOUBLE) FROM g UNION ALL SELECT k, 'recency_days_' || drg, CAST(date_diff('day', last_day, DATE '2013-12-31') AS DOUBLE) FROM g
+ UNION ALL SELECT NULL, p || code, NULL FROM ref, (SELECT unnest(['n_', 'total_', 'recency_days_']) AS p) UNION ALL SELECT k, 'n_' || (SELECT min(code) FROM ref), NULL FROM f)
+SELECT k AS desynpuf_id, coalesce(COLUMNS('^(n|total)_'), 0), COLUMNS('^recency') FROM (PIVOT long ON c USING max(v) GROUP BY k) WHERE k IS NOT NULL""",
     "p1_column_sums": f"""WITH {_CLAIMS} SELECT drg AS clm_drg_cd, count(DISTINCT k) AS n_entities, count(*) AS n, CAST(sum(CAST(coalesce(amt, 0) AS DECIMAL(18,2))) AS DOUBLE) AS total, CAST(date_diff('day', max(day), DATE '2013-12-31') AS INTEGER) AS recency_days
 FROM claims WHERE (day IS NULL OR day <= DATE '2013-12-31') AND drg IN (SELECT {_DRG} FROM drg_ref) GROUP BY 1""",
     "p2_found": f"""WITH {_SNAP},

@@ -201,12 +201,6 @@ def _customer_points(spark, d) -> DataFrame:
     return clustering.points(load(spark, d, "customer"), "c_custkey", ["c_acctbal", "c_nationkey"])
 
 
-@query()
-def kmeans_clusters(spark, d) -> DataFrame:
-    m = clustering.kmeans(_customer_points(spark, d), 4)
-    return clustering.cluster_stats(m.assigned).select("cluster", "n", *[F.round(c, 6).alias(c) for c in ("min_err", "max_err", "avg_err", "sse")])
-
-
 _KM = """WITH m AS (SELECT avg(c_acctbal) AS a, stddev_samp(c_acctbal) AS s, avg(c_nationkey) AS b, stddev_samp(c_nationkey) AS t FROM customer), z AS (SELECT c_custkey AS id, (c_acctbal - a) / s AS x, (c_nationkey - b) / t AS y FROM customer, m),
 c0 AS (SELECT 0 AS c, -1.0::DOUBLE AS x, -1.0::DOUBLE AS y UNION ALL SELECT 1, 1.0, -1.0 UNION ALL SELECT 2, 0.0, 1.0)""" + "".join(
     f", a{i} AS (SELECT z.id, z.x, z.y, min_by(c.c, [round(sqrt((z.x - c.x)**2 + (z.y - c.y)**2), 12), c.c]) AS c FROM z, c{i} c GROUP BY 1, 2, 3), c{i + 1} AS (SELECT c, avg(x) AS x, avg(y) AS y FROM a{i} GROUP BY 1)" for i in range(3)
@@ -542,13 +536,6 @@ def claims_feature_table(spark, d) -> DataFrame:
     return beneficiary_features(spark, d).withColumn("k", hex_text(F.col("k")))
 
 
-@query()
-def beneficiary_clusters(spark, d) -> DataFrame:
-    f = prep.one_hot(beneficiary_features(spark, d).dropna(subset=["age"]).withColumns({"sex": F.col("sex").cast("string"), "race": F.col("race").cast("string")}).drop("cc"), ["sex", "race"])
-    m = clustering.kmeans(clustering.points(f, "k", [c for c in f.columns if c != "k"]), 6)
-    return clustering.cluster_stats(m.assigned)
-
-
 @query()
 def beneficiary_forest(spark, d) -> DataFrame:
     f = beneficiary_features(spark, d).dropna().withColumns({"sex": F.col("sex").cast("string"), "race": F.col("race").cast("string")})

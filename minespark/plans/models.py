@@ -362,6 +362,44 @@ def farthest_first_start(spark, d) -> DataFrame:
     return spark.createDataFrame([tuple(map(float, x)) for x in c], "x double, y double").select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+def lloyd_sql(k: int, dims: int, rounds: int) -> str:
+    """k-means over points ``z`` (id, v) from the farthest points on: a0, a1, ... the members and c0, c1, ... the centres of each round."""
+
+    def dist(a: str, b: str) -> str:
+        return f"sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda t: (t[1] - t[2]) ** 2)))"
+
+    mean = "[" + ", ".join(f"avg(v[{i + 1}])" for i in range(dims)) + "]"
+    s = f"mid AS MATERIALIZED (SELECT {mean} AS m FROM z), f0 AS MATERIALIZED (SELECT id, v, 0 AS c FROM z, mid ORDER BY round({dist('v', 'm')}, 10) DESC, id LIMIT 1)"
+    for i in range(1, k):
+        s += f", f{i} AS MATERIALIZED (SELECT * FROM f{i - 1} UNION ALL (SELECT z.id, z.v, {i} FROM z, f{i - 1} f WHERE z.id NOT IN (SELECT id FROM f{i - 1}) GROUP BY z.id, z.v ORDER BY round(sum({dist('z.v', 'f.v')}), 10) DESC, z.id LIMIT 1))"
+    s += f", c0 AS (SELECT c, v FROM f{k - 1})"
+    for i in range(rounds):
+        s += f", a{i} AS MATERIALIZED (SELECT z.id, z.v, min_by(c.c, [round({dist('z.v', 'c.v')}, 12), c.c]) AS c FROM z, c{i} c GROUP BY 1, 2), c{i + 1} AS MATERIALIZED (SELECT c, {mean} AS v FROM a{i} GROUP BY 1)"
+    return s + f", err AS (SELECT a.c, {dist('a.v', 'c.v')} AS e FROM a{rounds - 1} a JOIN c{rounds - 1} c USING (c))"
+
+
+_STATS = "SELECT CAST(c AS INTEGER) AS cluster, count(*) AS n, round(min(e), {0}) AS min_err, round(max(e), {0}) AS max_err, round(avg(e), {0}) AS avg_err, round(sum(e * e), {0}) AS sse FROM err GROUP BY 1"
+
+
+@query(f"WITH zz AS (SELECT c_custkey AS id, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER () AS x, (c_nationkey - avg(c_nationkey) OVER ()) / stddev_samp(c_nationkey) OVER () AS y FROM customer), z AS MATERIALIZED (SELECT id, [x, y] AS v FROM zz), {lloyd_sql(4, 2, 60)} {_STATS.format(6)}")
+def kmeans_clusters(spark, d) -> DataFrame:
+    m = clustering.kmeans(M._customer_points(spark, d), 4)
+    return clustering.cluster_stats(m.assigned).select("cluster", "n", *[F.round(c, 6).alias(c) for c in ("min_err", "max_err", "avg_err", "sse")])
+
+
+_BASE = M.SQL["claims_feature_table"].replace("WITH ", "", 1)
+_BASE = _BASE[: _BASE.rindex("\nSELECT c.k")] + ", base AS (" + _BASE[_BASE.rindex("\nSELECT c.k") :] + ")"
+_HOT = [f"(CASE WHEN {c} = {v} THEN 1.0 ELSE 0.0 END)" for c, vs in (("sex", (0, 1)), ("race", range(1, 8))) for v in vs]
+_BENE_Z = "z AS MATERIALIZED (SELECT k AS id, [" + ", ".join(f"coalesce(({x} - avg({x}) OVER ()) / nullif(stddev_samp({x}) OVER (), 0), 0.0)" for x in ["age", "claims", "paid", *_HOT]) + "] AS v FROM base WHERE age IS NOT NULL)"
+
+
+@query(f"WITH {_BASE}, {_BENE_Z}, {lloyd_sql(6, 3 + len(_HOT), 60)} {_STATS.format(4)}")
+def beneficiary_clusters(spark, d) -> DataFrame:
+    f = prep.one_hot(M.beneficiary_features(spark, d).dropna(subset=["age"]).withColumns({"sex": F.col("sex").cast("string"), "race": F.col("race").cast("string")}).drop("cc"), ["sex", "race"])
+    m = clustering.kmeans(clustering.points(f, "k", [c for c in f.columns if c != "k"]), 6)
+    return clustering.cluster_stats(m.assigned).select("cluster", "n", *[F.round(c, 4).alias(c) for c in ("min_err", "max_err", "avg_err", "sse")])
+
+
 _LLOYD = _FAR + ", c0 AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS c, x, y FROM (" + " UNION ALL ".join(f"SELECT {i} AS ord, x, y FROM f{i}" + (f" WHERE id NOT IN (SELECT id FROM f{i - 1})" if i else "") for i in range(4)) + "))" + "".join(
     f", a{i} AS MATERIALIZED (SELECT z.id, z.x, z.y, min_by(c.c, [round(sqrt((z.x - c.x)**2 + (z.y - c.y)**2), 12), c.c]) AS c FROM z, c{i} c GROUP BY 1, 2, 3), c{i + 1} AS MATERIALIZED (SELECT c, avg(x) AS x, avg(y) AS y FROM a{i} GROUP BY 1)" for i in range(60)
 )
