@@ -110,19 +110,6 @@ def numeric_split_gains(spark, d) -> DataFrame:
     return _gains(spark, d, ["claim_count"]).select("alpha", F.round("gain", 8).alias("gain"))
 
 
-@query()
-def c45_tree(spark, d) -> DataFrame:
-    m = tree.c45(patients(spark, d), [*NUMS, *CATS], "cc_group", threshold=0.01, rid="vec_id")
-    return m.to_frame(spark)
-
-
-@query()
-def c45_predict(spark, d) -> DataFrame:
-    p = patients(spark, d)
-    m = tree.c45(p, [*NUMS, *CATS], "cc_group", threshold=0.01, rid="vec_id")
-    return m.transform(p).select("vec_id", F.col("cc_group").alias("obs"), "pred")
-
-
 @query(f"""WITH {_LONG}, {_H}, c AS (SELECT attr, v, y, count(*) AS n FROM x GROUP BY 1, 2, 3), cv AS (SELECT *, sum(n) OVER (PARTITION BY attr, v) AS vn, sum(n) OVER (PARTITION BY attr) AS t FROM c),
 e AS (SELECT attr, round(any_value(h) + sum(n * log2(n / vn)) / any_value(t), 12) AS g FROM cv, h GROUP BY 1),
 w AS (SELECT attr FROM e ORDER BY g DESC, list_position(['bene_race_cd', 'bene_sex_ident_cd', 'sp_chf', 'sp_copd', 'sp_cncr'], attr) LIMIT 1),
@@ -133,13 +120,6 @@ def c45_stump(spark, d) -> DataFrame:
     return tree.c45(p, CATS, "cc_group", rid="vec_id", max_depth=1).transform(p).select("vec_id", "pred")
 
 
-@query()
-def random_forest(spark, d) -> DataFrame:
-    p = patients(spark, d)
-    m = tree.forest(p, [*NUMS, *CATS], "cc_group", n_attrs=5, n_rows=1000, n_trees=5, threshold=0.02, key=["vec_id"], seed=2)
-    return evaluate.overall(m.vote(p), "cc_group", "pred")
-
-
 @query(f"""WITH {_LONG}, pr AS (SELECT cc_group AS y, count(*) / sum(count(*)) OVER () AS p, count(*) AS n FROM p GROUP BY 1), cd AS (SELECT attr, v, y, count(*) / any_value(n) AS q FROM x JOIN pr USING (y) GROUP BY 1, 2, 3),
 a AS (SELECT vec_id, attr, v FROM x), s AS (SELECT a.vec_id, pr.y, any_value(pr.p) * product(coalesce(cd.q, 0)) AS s FROM a CROSS JOIN pr LEFT JOIN cd ON cd.attr = a.attr AND cd.v = a.v AND cd.y = pr.y GROUP BY 1, 2)
 SELECT vec_id, y AS pred FROM (SELECT vec_id, y, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 14) DESC, y) AS r FROM s) WHERE r = 1""")
@@ -534,11 +514,3 @@ def claims_feature_table(spark, d) -> DataFrame:
     from minespark.functions.keys import hex_text
 
     return beneficiary_features(spark, d).withColumn("k", hex_text(F.col("k")))
-
-
-@query()
-def beneficiary_forest(spark, d) -> DataFrame:
-    f = beneficiary_features(spark, d).dropna().withColumns({"sex": F.col("sex").cast("string"), "race": F.col("race").cast("string")})
-    f = materialize(f)
-    m = tree.forest(f, ["age", "claims", "paid", "sex", "race"], "cc", n_attrs=5, n_rows=1000, n_trees=5, threshold=0.02, key=["k"], seed=1)
-    return evaluate.overall(m.vote(f), "cc", "pred")

@@ -64,6 +64,50 @@ def walk_sql(asked: str, attrs: list[str], depth: int) -> str:
     return sql + f", judged AS MATERIALIZED (SELECT t, id, dec AS pred FROM q{depth})"
 
 
+LEVELS = 30  # deeper than any tree of the test tables; levels without rows cost nothing
+
+
+def mixed_tree_sql(rows: str, cats: list[str], nums: list[str], order: list[str], threshold: float, chosen: dict[int, list[str]] | None = None, levels: int = LEVELS) -> str:
+    """As ``tree_sql`` over ``rows`` (t, y, rid and the attributes) with numeric attributes, too, which split in two any number of times; w0, w1, ... have an alpha."""
+    cols = ", ".join([*cats, *nums])
+    sql = f"g0 AS MATERIALIZED (SELECT t, '' AS path, y, rid, {cols} FROM {rows})"
+    if chosen:
+        sql += ", allowed AS (SELECT * FROM (VALUES " + ", ".join(f"({t}, '{a}')" for t, mine in chosen.items() for a in mine) + ") v(t, attr))"
+    only = " JOIN allowed o ON o.t = x.t AND o.attr = x.attr" if chosen else ""
+
+    def nlogn(c: str) -> str:
+        return f"CASE WHEN {c} > 0 THEN {c} * log2({c}) ELSE 0 END"
+
+    for i in range(levels):
+        sql += f""", l{i} AS MATERIALIZED (SELECT t, path, y, count(*) AS n FROM g{i} GROUP BY ALL),
+n{i} AS MATERIALIZED (SELECT t, path, first(y ORDER BY n DESC, y) AS dec, max(n) / sum(n) AS p, count(*) AS k, sum(n) AS tot, -sum(n * log2(n)) / sum(n) + log2(sum(n)) AS h FROM l{i} GROUP BY t, path)"""
+        if i == levels - 1:
+            break
+        kinds = " UNION ALL ".join(f"SELECT t, path, y, '{a}' AS attr, {order.index(a)} AS pos, CAST({a} AS VARCHAR) AS v FROM g{i} WHERE NOT contains(path, '/{a}=')" for a in cats) or "SELECT t, path, y, '' AS attr, 0 AS pos, '' AS v FROM g0 WHERE FALSE"
+        numbers = " UNION ALL ".join(f"SELECT t, path, y, rid, '{a}' AS attr, {order.index(a)} AS pos, CAST({a} AS DOUBLE) AS v FROM g{i}" for a in nums)
+        side = " ".join(f"WHEN '{a}' THEN CASE WHEN g.{a} <= w.alpha THEN '<=' ELSE '>' END || CAST(w.alpha AS VARCHAR)" for a in nums) + " " + " ".join(f"WHEN '{a}' THEN '=' || CAST(g.{a} AS VARCHAR)" for a in cats)
+        sql += f""", u{i} AS MATERIALIZED (SELECT x.* FROM ({kinds}) x JOIN n{i} n ON n.t = x.t AND n.path = x.path AND n.k > 1{only}),
+e{i} AS MATERIALIZED (SELECT c.t, c.path, attr, pos, round(any_value(h) + sum(c.n * log2(c.n / vn)) / any_value(tot), 12) AS g FROM (SELECT *, sum(n) OVER (PARTITION BY t, path, attr, v) AS vn FROM (SELECT t, path, attr, pos, v, y, count(*) AS n FROM u{i} GROUP BY ALL)) c JOIN n{i} n ON n.t = c.t AND n.path = c.path GROUP BY c.t, c.path, attr, pos),
+v{i} AS MATERIALIZED (SELECT x.t, x.path, x.attr, x.pos, x.v, x.y, count(*) AS n, min(x.rid) AS fr FROM ({numbers}) x JOIN n{i} n ON n.t = x.t AND n.path = x.path AND n.k > 1{only} GROUP BY ALL),
+s{i} AS MATERIALIZED (SELECT t, path, attr, pos, v, fr, {nlogn('sum(le)')} - sum({nlogn('le')}) + {nlogn('sum(ln - le)')} - sum({nlogn('(ln - le)')}) AS w FROM (SELECT a.*, b.n AS ln, sum(coalesce(c.n, 0)) OVER (PARTITION BY a.t, a.path, a.attr, b.y ORDER BY a.v) AS le
+ FROM (SELECT t, path, attr, pos, v, min(fr) AS fr FROM v{i} GROUP BY ALL) a JOIN l{i} b ON b.t = a.t AND b.path = a.path LEFT JOIN v{i} c ON c.t = a.t AND c.path = a.path AND c.attr = a.attr AND c.v = a.v AND c.y = b.y) GROUP BY ALL),
+b{i} AS MATERIALIZED (SELECT s.t, s.path, attr, pos, v AS alpha, round(h - w / tot, 12) AS g, row_number() OVER (PARTITION BY s.t, s.path, attr ORDER BY round(h - w / tot, 12) DESC, fr) AS r FROM s{i} s JOIN n{i} n ON n.t = s.t AND n.path = s.path WHERE round(h - w / tot, 12) > {threshold}),
+w{i} AS MATERIALIZED (SELECT t, path, attr, alpha FROM (SELECT *, row_number() OVER (PARTITION BY t, path ORDER BY g DESC, pos) AS r FROM (SELECT t, path, attr, pos, g, NULL::DOUBLE AS alpha FROM e{i} WHERE g > {threshold} UNION ALL SELECT t, path, attr, pos, g, alpha FROM b{i} WHERE r = 1)) WHERE r = 1),
+g{i + 1} AS MATERIALIZED (SELECT g.t, g.path || '/' || attr || (CASE attr {side} END) AS path, y, rid, {', '.join('g.' + c for c in [*cats, *nums])} FROM g{i} g JOIN w{i} w ON w.t = g.t AND w.path = g.path)"""
+    return sql
+
+
+def mixed_walk_sql(asked: str, cats: list[str], nums: list[str], levels: int = LEVELS) -> str:
+    """As ``walk_sql``, down the trees of ``mixed_tree_sql``."""
+    cols = [*cats, *nums]
+    side = " ".join(f"WHEN '{a}' THEN CASE WHEN q.{a} <= w.alpha THEN '<=' ELSE '>' END || CAST(w.alpha AS VARCHAR)" for a in nums) + " " + " ".join(f"WHEN '{a}' THEN '=' || CAST(q.{a} AS VARCHAR)" for a in cats)
+    sql = f"q0 AS MATERIALIZED (SELECT a.t, a.id, n.path, n.dec, {', '.join('a.' + x for x in cols)} FROM {asked} a JOIN n0 n ON n.t = a.t)"
+    for i in range(levels - 1):
+        sql += f""", q{i + 1} AS MATERIALIZED (SELECT q.t, q.id, CASE WHEN n.path IS NOT NULL THEN n.path WHEN w.attr IS NOT NULL THEN q.path || '#' ELSE q.path END AS path, coalesce(n.dec, q.dec) AS dec, {', '.join('q.' + x for x in cols)}
+ FROM q{i} q LEFT JOIN w{i} w ON w.t = q.t AND w.path = q.path LEFT JOIN n{i + 1} n ON n.t = q.t AND n.path = q.path || '/' || w.attr || (CASE w.attr {side} END))"""
+    return sql + f", judged AS MATERIALIZED (SELECT t, id, dec AS pred FROM q{levels - 1})"
+
+
 _A = M.CATS
 _ONE = f"one AS (SELECT 0 AS t, vec_id AS id, cc_group AS y, {', '.join(_A)} FROM p)"
 _TREE = f"{M._P}, {_ONE}, {tree_sql('one', _A, 0.01)}"
@@ -113,6 +157,29 @@ def c45_tasks_predict(spark, d) -> DataFrame:
     return tree.c45(p, _A, "cc_group", threshold=0.01, rid="vec_id").transform(p, most_nodes=0).select("vec_id", "pred")
 
 
+_ALL = [*M.NUMS, *M.CATS]
+_MIXED = f"{M._P}, every AS (SELECT 0 AS t, vec_id AS id, vec_id AS rid, cc_group AS y, {', '.join(_ALL)} FROM p), {mixed_tree_sql('every', M.CATS, M.NUMS, _ALL, 0.01)}"
+_MIXED_NODES = " UNION ALL ".join(f"SELECT n.path, w.attr AS var, n.dec, n.p FROM n{i} n LEFT JOIN w{i} w ON w.path = n.path" for i in range(LEVELS - 1))
+_MIXED_EMPTY = " UNION ALL ".join(
+    f"SELECT w.path || '/{a}=' || d.v, NULL, n.dec, n.p FROM w{i} w JOIN n{i} n ON n.path = w.path JOIN d_{a} d ON w.attr = '{a}' WHERE w.path || '/{a}=' || d.v NOT IN (SELECT path FROM n{i + 1})" for i in range(LEVELS - 1) for a in _A
+)
+_DOMAINS = ", ".join(f"d_{a} AS MATERIALIZED (SELECT DISTINCT CAST({a} AS VARCHAR) AS v FROM p)" for a in _A)
+
+
+@query(f"WITH {_MIXED}, {_DOMAINS}, nodes AS ({_MIXED_NODES} UNION ALL {_MIXED_EMPTY}) SELECT path, var, dec AS decision, round(p, 8) AS p FROM nodes")
+def c45_tree(spark, d) -> DataFrame:
+    """All nodes of the tree over numbers and categories."""
+    m = tree.c45(M.patients(spark, d), _ALL, "cc_group", threshold=0.01, rid="vec_id")
+    return spark.createDataFrame(paths(m), "path string, var string, decision string, p double")
+
+
+@query(f"WITH {_MIXED}, {mixed_walk_sql('every', M.CATS, M.NUMS)} SELECT id AS vec_id, cc_group AS obs, pred FROM judged JOIN p ON vec_id = id")
+def c45_predict(spark, d) -> DataFrame:
+    p = M.patients(spark, d)
+    m = tree.c45(p, _ALL, "cc_group", threshold=0.01, rid="vec_id")
+    return m.transform(p).select("vec_id", F.col("cc_group").alias("obs"), "pred")
+
+
 @query(f"WITH {M._P} SELECT count(*) AS n, count(*) AS agree FROM p")
 def c45_both_ways(spark, d) -> DataFrame:
     """Numeric and categorical attributes: rows, and those judged alike by the trees of the level loop and of the tasks."""
@@ -177,6 +244,22 @@ def forest_accuracy(spark, d) -> DataFrame:
     return evaluate.overall(_voted(spark, d), "cc_group", "pred").select("n", "correct", F.round("accuracy", 8).alias("accuracy"))
 
 
+def forest_sql(base: str, key: str, label: str, cats: list[str], nums: list[str], order: list[str], n_attrs: int, draws: int, trees: int, threshold: float, seed: int) -> str:
+    """The forest over the table ``base`` and ``elected`` (id, pred)."""
+    chosen = {t: sorted(random.Random(seed * 1000 + t).sample(order, min(n_attrs, len(order))), key=order.index) for t in range(trees)}
+    cols = ", ".join([*cats, *nums])
+    return f"""numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {key}) - 1 AS rid FROM {base}), picks AS (SELECT CAST(i // {draws} AS INTEGER) AS t, {lot_sql(seed, 'i')} % (SELECT count(*) FROM {base}) AS rid FROM range({trees * draws}) r(i)),
+drawn AS MATERIALIZED (SELECT t, rid, {label} AS y, {cols} FROM picks JOIN numbered USING (rid)), asked AS (SELECT x.t, {key} AS id, {cols} FROM {base}, (SELECT unnest(range({trees})) AS t) x),
+{mixed_tree_sql('drawn', cats, nums, order, threshold, chosen)}, {mixed_walk_sql('asked', cats, nums)}, votes AS (SELECT id, pred, count(*) AS n FROM judged GROUP BY 1, 2), elected AS (SELECT id, first(pred ORDER BY n DESC, pred) AS pred FROM votes GROUP BY 1)"""
+
+
+@query(f"WITH {M._P}, {forest_sql('p', 'vec_id', 'cc_group', M.CATS, M.NUMS, _ALL, 5, 1000, 5, 0.02, 2)} SELECT count(*) AS n, CAST(sum(CAST(pred = cc_group AS INT)) AS BIGINT) AS correct, round(avg(CAST(pred = cc_group AS DOUBLE)), 8) AS accuracy FROM elected JOIN p ON vec_id = id")
+def random_forest(spark, d) -> DataFrame:
+    p = M.patients(spark, d)
+    m = tree.forest(p, _ALL, "cc_group", n_attrs=5, n_rows=1000, n_trees=5, threshold=0.02, key=["vec_id"], seed=2)
+    return evaluate.overall(m.vote(p), "cc_group", "pred").select("n", "correct", F.round("accuracy", 8).alias("accuracy"))
+
+
 @query()
 def author_forest(spark, d) -> DataFrame:
     """Documents' sources told by a forest over term frequencies: hits, strikes and misses of each source."""
@@ -348,6 +431,20 @@ def beneficiary_neighbours(spark, d) -> DataFrame:
     return got.join(f.select(F.col("no").alias("query"), "k", F.col("label").alias("obs")), "query").select("k", "obs", "pred")
 
 
+_BENE_ATTRS = ["age", "claims", "paid", "sex", "race"]
+
+
+@query(f"WITH {_BENE}, {forest_sql('src', 'k', 'label', ['sex', 'race'], ['age', 'claims', 'paid'], _BENE_ATTRS, 5, 1000, 5, 0.02, 1)} SELECT count(*) AS n, CAST(sum(CAST(pred = label AS INT)) AS BIGINT) AS correct, round(avg(CAST(pred = label AS DOUBLE)), 8) AS accuracy FROM elected JOIN src ON k = id")
+def beneficiary_forest(spark, d) -> DataFrame:
+    """The class of conditions of beneficiaries told by a forest over age, claims, payments, sex and race."""
+    from minespark.functions.keys import hex_text
+
+    f = M.beneficiary_features(spark, d).dropna().withColumns({"k": hex_text(F.col("k")), "sex": F.col("sex").cast("string"), "race": F.col("race").cast("string")})
+    f = materialize(f)
+    m = tree.forest(f, _BENE_ATTRS, "cc", n_attrs=5, n_rows=1000, n_trees=5, threshold=0.02, key=["k"], seed=1)
+    return evaluate.overall(m.vote(f), "cc", "pred").select("n", "correct", F.round("accuracy", 8).alias("accuracy"))
+
+
 # -- clusterings ------------------------------------------------------------------
 
 _Z = "z AS MATERIALIZED (SELECT c_custkey AS id, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER () AS x, (c_nationkey - avg(c_nationkey) OVER ()) / stddev_samp(c_nationkey) OVER () AS y FROM customer)"
