@@ -244,12 +244,12 @@ def forest_accuracy(spark, d) -> DataFrame:
     return evaluate.overall(_voted(spark, d), "cc_group", "pred").select("n", "correct", F.round("accuracy", 8).alias("accuracy"))
 
 
-def forest_sql(base: str, key: str, label: str, cats: list[str], nums: list[str], order: list[str], n_attrs: int, draws: int, trees: int, threshold: float, seed: int) -> str:
-    """The forest over the table ``base`` and ``elected`` (id, pred)."""
+def forest_sql(base: str, key: str, label: str, cats: list[str], nums: list[str], order: list[str], n_attrs: int, draws: int, trees: int, threshold: float, seed: int, judged: str = "") -> str:
+    """The forest over the table ``base`` and ``elected`` (id, pred) of the rows of ``judged``, by default the same."""
     chosen = {t: sorted(random.Random(seed * 1000 + t).sample(order, min(n_attrs, len(order))), key=order.index) for t in range(trees)}
     cols = ", ".join([*cats, *nums])
     return f"""numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {key}) - 1 AS rid FROM {base}), picks AS (SELECT CAST(i // {draws} AS INTEGER) AS t, {lot_sql(seed, 'i')} % (SELECT count(*) FROM {base}) AS rid FROM range({trees * draws}) r(i)),
-drawn AS MATERIALIZED (SELECT t, rid, {label} AS y, {cols} FROM picks JOIN numbered USING (rid)), asked AS (SELECT x.t, {key} AS id, {cols} FROM {base}, (SELECT unnest(range({trees})) AS t) x),
+drawn AS MATERIALIZED (SELECT t, rid, {label} AS y, {cols} FROM picks JOIN numbered USING (rid)), asked AS (SELECT x.t, {key} AS id, {cols} FROM {judged or base}, (SELECT unnest(range({trees})) AS t) x),
 {mixed_tree_sql('drawn', cats, nums, order, threshold, chosen)}, {mixed_walk_sql('asked', cats, nums)}, votes AS (SELECT id, pred, count(*) AS n FROM judged GROUP BY 1, 2), elected AS (SELECT id, first(pred ORDER BY n DESC, pred) AS pred FROM votes GROUP BY 1)"""
 
 
@@ -260,12 +260,17 @@ def random_forest(spark, d) -> DataFrame:
     return evaluate.overall(m.vote(p), "cc_group", "pred").select("n", "correct", F.round("accuracy", 8).alias("accuracy"))
 
 
-@query()
+_WORD_TREES, _WORD_ATTRS, _WORD_SEED = 3, 6, 3
+_WS = [f"w{i}" for i in range(_WORD_TREES * _WORD_ATTRS)]
+_WORD_BASE = f"""{M._TF}, wd AS MATERIALIZED (SELECT term, row_number() OVER (ORDER BY {lot_sql(_WORD_SEED, 'term')}, term) - 1 AS no FROM (SELECT DISTINCT term FROM tf) QUALIFY no < {len(_WS)}),
+few AS (SELECT doc, no, f FROM tf JOIN wd USING (term)), allrows AS MATERIALIZED (SELECT doc_id AS doc, source, {', '.join(f"CAST(coalesce(max(CASE WHEN no = {i} THEN f END), 0) AS DOUBLE) AS w{i}" for i in range(len(_WS)))} FROM documents LEFT JOIN few ON doc = doc_id GROUP BY 1, 2), labelled AS (SELECT * FROM allrows WHERE source IS NOT NULL)"""
+
+
+@query(f"WITH {_WORD_BASE}, {forest_sql('labelled', 'doc', 'source', [], _WS, _WS, _WORD_ATTRS, 500, _WORD_TREES, 0.01, _WORD_SEED, 'allrows')} SELECT id AS doc, source AS obs, pred FROM elected JOIN allrows ON doc = id")
 def author_forest(spark, d) -> DataFrame:
-    """Documents' sources told by a forest over term frequencies: hits, strikes and misses of each source."""
+    """Each document's source, as a forest over the frequencies of drawn words tells it."""
     docs = M._texts(spark, d)
-    got = text.forest_authors(M._tf(spark, d), docs.select(F.col("doc_id").alias("doc"), F.col("source").alias("author")), n_attrs=20, n_rows=500, n_trees=5, threshold=0.01, seed=3)
-    return evaluate.author_report(got).select("author", "hits", "strikes", "misses")
+    return text.forest_authors(M._tf(spark, d), docs.select(F.col("doc_id").alias("doc"), F.col("source").alias("author")), n_attrs=_WORD_ATTRS, n_rows=500, n_trees=_WORD_TREES, threshold=0.01, seed=_WORD_SEED)
 
 
 # -- held-out rows and folds ----------------------------------------------------
