@@ -23,7 +23,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     kids = rows.filter(F.col("table_name").isin("node", "leaf") & (F.col("parent_table") == "edges")).select(
         "tree_key", F.regexp_replace("parent_id", r"\.[0-9]+$", "").alias("parent_path"), F.col("id").alias("child_path")
     )
-    return kids.distinct().join(nodes, ["tree_key", "parent_path"]).select("tree_key", "parent_path", "parent_var", "child_path")
+    kids = kids.repartition("tree_key", "parent_path").distinct()  # one exchange for the distinct rows and the join
+    return kids.join(nodes, ["tree_key", "parent_path"]).select("tree_key", "parent_path", "parent_var", "child_path")
 
 
 QUERIES = {"p4_found": p4_found}
