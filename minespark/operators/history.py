@@ -31,8 +31,10 @@ def change_events(snap: DataFrame, key: str, period: str, value: str) -> DataFra
     one period after it, which ends its open version.
     """
     cur = snap.select(key, period, F.col(value).alias("_cur"), F.lit(True).alias("_is"))
-    prev = snap.select(key, (F.col(period) + 1).alias(period), F.col(value).alias("_prev"), F.lit(True).alias("_was"))
-    both = cur.join(prev, [key, period], "full_outer")
+    prev = snap.select(F.col(key).alias("_key"), (F.col(period) + 1).alias("_period"), F.col(value).alias("_prev"), F.lit(True).alias("_was"))
+    # partitioned by key alone, as the rows already are; a key has few periods, which are matched as a condition
+    both = cur.join(prev, (F.col(key) == F.col("_key")) & (F.col(period) - F.col("_period") == 0), "full_outer")
+    both = both.withColumns({key: F.coalesce(key, "_key"), period: F.coalesce(period, "_period")})
     kind = (
         F.when(F.col("_was").isNull(), "inserted")
         .when(F.col("_is").isNull(), "deleted")
