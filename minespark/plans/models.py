@@ -559,6 +559,44 @@ for _link in ("average", "single", "complete"):
     QUERIES[_name] = _merged
     SQL[_name] = f"WITH {_NATIONS}, {merges_sql(_link)} SELECT CAST(step AS INTEGER) AS step, CAST(left_id AS INTEGER) AS left_id, CAST(right_id AS INTEGER) AS right_id, CAST(new_id AS INTEGER) AS new_id, round(height, 7) AS height, CAST(size AS INTEGER) AS size FROM ({_MERGES})"
 
+def centroid_merges_sql(n: int = 25) -> str:
+    """As ``merges_sql``, the distance of two clusters being that of their means."""
+    s = "c0 AS MATERIALIZED (SELECT id, id AS pos, 1 AS n, x, y FROM z)"
+    for i in range(n - 1):
+        s += f""", m{i + 1} AS MATERIALIZED (SELECT {i} AS step, a.id AS left_id, b.id AS right_id, (SELECT count(*) FROM z) + {i} AS new_id, sqrt((a.x - b.x)**2 + (a.y - b.y)**2) AS height, a.n + b.n AS size, a.pos, (a.n * a.x + b.n * b.x) / (a.n + b.n) AS x, (a.n * a.y + b.n * b.y) / (a.n + b.n) AS y FROM c{i} a JOIN c{i} b ON a.pos < b.pos ORDER BY round(height, 12), a.pos, b.pos LIMIT 1),
+c{i + 1} AS MATERIALIZED (SELECT c.* FROM c{i} c WHERE c.id NOT IN (SELECT left_id FROM m{i + 1} UNION ALL SELECT right_id FROM m{i + 1}) UNION ALL SELECT new_id, pos, size, x, y FROM m{i + 1})"""
+    return s
+
+
+@query(f"WITH {_NATIONS}, {centroid_merges_sql()} SELECT CAST(step AS INTEGER) AS step, CAST(left_id AS INTEGER) AS left_id, CAST(right_id AS INTEGER) AS right_id, CAST(new_id AS INTEGER) AS new_id, round(height, 7) AS height, CAST(size AS INTEGER) AS size FROM ({_MERGES})")
+def hclust_centroid_link(spark, d) -> DataFrame:
+    _, t = nation_tree(spark, d, "centroid")
+    return spark.createDataFrame([(i, *m[:3], round(m[3], 7), m[4]) for i, m in enumerate(t.merges)], "step int, left_id int, right_id int, new_id int, height double, size int")
+
+
+@query(f"WITH {_NATIONS} SELECT CAST(id AS INTEGER) AS leaf FROM z")
+def hclust_leaves(spark, d) -> DataFrame:
+    """The leaves below the root, and no other."""
+    _, t = nation_tree(spark, d, "complete")
+    return spark.createDataFrame([(x,) for x in t.leaves(t.root)], "leaf int")
+
+
+def _outliers_sql(k: int) -> str:
+    """The tallest cluster is opened until there are ``k``; single points that split off are taken away: p0, p1, ... (id, height, size) are the states."""
+    s = "p0 AS MATERIALIZED (SELECT new_id AS id, height FROM mm ORDER BY step DESC LIMIT 1)"
+    for i in range(24):
+        s += f""", o{i} AS MATERIALIZED (SELECT p.id, m.left_id, m.right_id FROM p{i} p JOIN mm m ON m.new_id = p.id WHERE (SELECT count(*) FROM p{i}) < {k} ORDER BY p.height DESC, p.id LIMIT 1),
+p{i + 1} AS MATERIALIZED (SELECT p.* FROM p{i} p WHERE p.id NOT IN (SELECT id FROM o{i}) UNION ALL SELECT m.new_id, m.height FROM o{i} o JOIN mm m ON m.new_id IN (o.left_id, o.right_id))"""
+    return s
+
+
+@query(f"WITH {_NATIONS}, {merges_sql('average')}, mm AS MATERIALIZED ({_MERGES}), {_outliers_sql(3)} SELECT size AS n FROM p24 p JOIN mm m ON m.new_id = p.id")
+def hclust_without_outliers(spark, d) -> DataFrame:
+    """Sizes of three clusters of nations, single points that split off on the way taken away."""
+    _, t = nation_tree(spark, d, "average")
+    return spark.createDataFrame([(len(c),) for c in t.cut_without_outliers(3)[0]], "n int")
+
+
 _CUT = f"""WITH RECURSIVE {_NATIONS}, {merges_sql("average")}, mm AS MATERIALIZED ({_MERGES}), e AS (SELECT new_id AS p, left_id AS c FROM mm WHERE step < (SELECT count(*) FROM z) - 6 UNION ALL SELECT new_id, right_id FROM mm WHERE step < (SELECT count(*) FROM z) - 6),
 u(id, top) AS (SELECT id, id FROM z UNION ALL SELECT u.id, e.p FROM u JOIN e ON e.c = u.top), t AS (SELECT id, max(top) AS top FROM u GROUP BY 1)"""
 
