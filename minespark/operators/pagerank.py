@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from minespark.functions.linalg import close
-from minespark.operators.rows import heavy_keys, skew_join
+from minespark.operators.rows import HEAVY_ROWS, heavy_keys, skew_join
 from minespark.scratch import materialize, release
 
 
@@ -24,21 +24,24 @@ def pagerank(edges: DataFrame, d: float = 0.5, max_iterations: int | None = None
     nothing.  Stops when all ranks agree within 1e-8 + 1e-5 of the new rank.
     The edge table is scaled once; each round is one join and one sum, to which
     every node adds a row of its own, and one job: whether the ranks agree is
-    told while they are written.  Without a tolerance only every fourth round's
+    told while they are written.  Without a tolerance only every fifth round's
     ranks are written, so lineage stays short all the same.
     """
     n_edges = edges.groupBy("src", "dst").agg(F.count("*").alias("c"))
     out = edges.groupBy("src").agg(F.count("*").alias("deg"))
     share = F.lit(1.0) if multi_edges == "once" else F.col("c")
-    flow = materialize(n_edges.join(out, "src").select("src", "dst", (share / F.col("deg")).alias("w")))
-    ids = materialize(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
-    n = ids.count()
+    seen = Observation()
+    flow = materialize(n_edges.join(out, "src").select("src", "dst", (share / F.col("deg")).alias("w")).observe(seen, F.count(F.lit(1)).alias("n")))
+    hot = heavy_keys(flow, "src") if seen.get["n"] > HEAVY_ROWS else []  # the edges stay the same
+    seen = Observation()
+    ids = flow.select(F.col("src").alias("id")).union(flow.select("dst")).distinct()
+    ids = materialize(ids.observe(seen, F.count(F.lit(1)).alias("n")))
+    n = seen.get["n"]
     if n == 0:
         return ids.withColumn("pr", F.lit(0.0)), 0
-    ranks = materialize(ids.withColumn("pr", F.lit(1.0 / n)))
-    hot = heavy_keys(flow, "src")  # the edges stay the same
+    ranks = ids.withColumn("pr", F.lit(1.0 / n))
     it = 0
-    written = ranks
+    written = ids
     while max_iterations is None or it < max_iterations:
         sent = skew_join(flow, ranks.withColumnRenamed("id", "src"), "src", hot=hot).select(F.col("dst").alias("id"), (F.col("w") * F.col("pr")).alias("s"), F.lit(None).cast("double").alias("old"))
         own = ranks.select("id", F.lit(0.0).alias("s"), F.col("pr").alias("old"))  # nodes without in-links have a row, too
@@ -52,7 +55,7 @@ def pagerank(edges: DataFrame, d: float = 0.5, max_iterations: int | None = None
             written = ranks
             if not seen.get["moved"]:
                 break
-        elif it % 4 == 0 or it == max_iterations:
+        elif it % 5 == 0 or it == max_iterations:
             ranks = materialize(new.drop("old"))
             release(written)
             written = ranks
