@@ -5,7 +5,8 @@ Token sums by source and hash bucket tell between which two bucket bounds a
 source's budget ends; only that boundary bucket is split further, level by
 level, until the threshold is exact to one document.  What a long document at
 the boundary leaves of the budget is filled by further thresholds over the
-documents behind it that are short against the rest.  Nothing is sorted.
+documents left out that are short against the rest, until none fits.  Nothing
+is sorted.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ class SourcePlan:
 
 
 def histogram(items: DataFrame, level: int, bits: int = LEVEL_BITS) -> DataFrame:
-    """(source, bucket, tokens, docs) by the hash's first ``(level + 1) * bits`` bits."""
-    return items.groupBy("source", F.shiftright("h", HASH_BITS - (level + 1) * bits).alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
+    """(source, bucket, tokens, one: whether all its documents have one hash) by the hash's first ``(level + 1) * bits`` bits."""
+    return items.groupBy("source", F.shiftright("h", max(0, HASH_BITS - (level + 1) * bits)).alias("bucket")).agg(F.sum("tokens").alias("tokens"), (F.min("h") == F.max("h")).alias("one"))
 
 
 def hashed(items: DataFrame, item: str, source: str, size: str) -> DataFrame:
@@ -66,18 +67,18 @@ def thresholds(items: DataFrame, budgets: dict[str, float]) -> dict[str, tuple[i
     bits = max(2, min(LEVEL_BITS, int(math.log2(HISTOGRAM_ROWS / max(1, len(budgets))))))
     level, rows, kept = 0, of_sources(items, budgets), None
     while left:
-        width = 1 << (HASH_BITS - (level + 1) * bits)
-        last = (level + 2) * bits > HASH_BITS
+        width = 1 << max(0, HASH_BITS - (level + 1) * bits)
+        last = width == 1
         hist: dict[str, list] = {s: [] for s in left}
         for r in histogram(rows, level, bits).collect():  # at most HISTOGRAM_ROWS rows, or four a source
             if r["source"] in hist:
-                hist[r["source"]].append((r["bucket"], r["tokens"], r["docs"]))
+                hist[r["source"]].append((r["bucket"], r["tokens"], r["one"]))
         inner: dict[str, float] = {}
         low: dict[str, int] = {}
         for s, rest in left.items():
-            for bucket, tokens, docs in sorted(hist[s]):
+            for bucket, tokens, one in sorted(hist[s]):
                 if tokens > rest:
-                    if docs == 1 or last:
+                    if one or last:
                         out[s] = (bucket * width, rest)
                     else:
                         inner[s], low[s] = rest, bucket * width
@@ -98,39 +99,62 @@ def thresholds(items: DataFrame, budgets: dict[str, float]) -> dict[str, tuple[i
     return out
 
 
+def first_fitting(rows: DataFrame, budgets: dict[str, float]) -> dict[str, tuple[int, int]]:
+    """Per source the smallest hash whose documents fit the budget, and their tokens; those of one hash (an id's repeated rows) go together."""
+    most = rows.sparkSession.createDataFrame([(s, int(b)) for s, b in budgets.items()], "source string, most bigint")
+    one = rows.join(F.broadcast(most), "source").filter((F.col("tokens") > 0) & (F.col("tokens") <= F.col("most"))).groupBy("source", "h", "most").agg(F.sum("tokens").alias("tokens"))  # one row a source
+    got = one.filter(F.col("tokens") <= F.col("most")).groupBy("source").agg(F.min(F.struct("h", "tokens")).alias("first")).collect()
+    return {r["source"]: (r["first"]["h"], r["first"]["tokens"]) for r in got}
+
+
 def cuts_for(items: DataFrame, budgets: dict[str, float]) -> dict[str, list[tuple[int, int, int]]]:
     """Per source the cuts (low, high, size) whose documents come near the budget without exceeding it.
 
-    After the first threshold, each round takes documents behind it of at most a
+    After the first threshold, each round takes documents left out of at most a
     quarter of what is left, so the rest shrinks to a quarter at least as long
-    as there are such documents; where there is none, of at most a half, and then
-    of all that fit.  It ends when no document behind the threshold fits.
+    as there are enough of them; where there is none, of at most a half, and then
+    of all that fit.  It ends when no document left out fits; those of one hash
+    (repeated rows of an id) are taken together or not at all.  The documents
+    that still fit are written every round, so the next reads only them.
     """
     spark = items.sparkSession
     out: dict[str, list[tuple[int, int, int]]] = {s: [] for s in budgets}
-    left, low, most = dict(budgets), dict.fromkeys(budgets, 0), dict.fromkeys(budgets, (1 << 62))
-    part = dict.fromkeys(budgets, 0)  # the first round takes documents of any size
-    rows = items
+    left, most = dict(budgets), dict.fromkeys(budgets, 1 << 62)  # the first round takes documents of any size
+    cap: dict[str, int] = {}  # of sources whose ids have so many rows that shorter documents come first
+    rows, kept, least = items, None, {}
     while left:
         found = thresholds(rows, left)
-        nxt = {}
+        stuck = {} if kept is None else {s: rest for s, (_, rest) in found.items() if rest == left[s]}  # documents of one hash are too many
+        cap |= {s: most[s] // 2 for s in stuck}
+        alone = {s: rest for s, rest in stuck.items() if cap[s] < least[s]}
+        single = first_fitting(kept, alone) if alone else {}
+        bounds = []
         for s, (high, rest) in found.items():
-            if rest < left[s] or (part[s] == 0 and high > low[s]):
-                out[s].append((low[s], high, most[s]))
-            if rest < 1 or (high == 1 << HASH_BITS and rest < left[s]):  # nothing is left of the budget, or behind the threshold
-                continue
-            if rest < left[s] or part[s] == 0:
-                low[s], part[s] = high, 4
-            elif part[s] == 1:
+            if s in single:
+                cut, rest = (single[s][0], single[s][0] + 1, int(rest)), rest - single[s][1]
+            elif s in alone:
                 continue
             else:
-                part[s] //= 2
-            nxt[s], most[s] = rest, int(rest // part[s])
-        left = nxt
-        if not left:
-            break
-        bounds = spark.createDataFrame([(s, low[s], most[s]) for s in left], "source string, lo bigint, most bigint")
-        rows = items.join(F.broadcast(bounds), "source").filter((F.col("h") >= F.col("lo")) & (F.col("tokens") <= F.col("most"))).drop("lo", "most")  # one row a source
+                cut = (0, 0 if s in stuck else high, most[s])
+            if cut[1] > 0:
+                out[s].append(cut)
+            if rest >= 1 and (kept is not None or high < 1 << HASH_BITS):
+                bounds.append((s, *cut, int(rest)))
+        left = {}
+        if bounds:
+            table = spark.createDataFrame(bounds, "source string, low bigint, high bigint, size bigint, rest bigint")
+            taken = (F.col("h") >= F.col("low")) & (F.col("h") < F.col("high")) & (F.col("tokens") <= F.col("size"))
+            fit = materialize((items if kept is None else kept).join(F.broadcast(table), "source").filter((F.col("tokens") > 0) & (F.col("tokens") <= F.col("rest")) & ~taken).select(items.columns))  # one row a source
+            if kept is not None:
+                release(kept)
+            kept = fit
+            least = {r["source"]: r["least"] for r in kept.groupBy("source").agg(F.min("tokens").alias("least")).collect()}  # at most one row a source
+            left = {s: rest for s, *_, rest in bounds if s in least}
+        if left:
+            most = {s: next(n for n in (min(cap.get(s, rest), rest // 4), rest // 4, rest // 2, rest) if n >= least[s]) for s, rest in left.items()}
+            rows = kept.join(F.broadcast(spark.createDataFrame(list(most.items()), "source string, most bigint")), "source").filter(F.col("tokens") <= F.col("most")).drop("most")  # one row a source
+    if kept is not None:
+        release(kept)
     return out
 
 
@@ -154,20 +178,31 @@ def plan_mix(items: DataFrame, targets: dict[str, tuple[float, int]], total: flo
         wanted = min(size * w / norm, r * have[s]) if s in live else 0.0
         whole = min(r, int(math.floor(wanted / have[s] + 1e-12))) if s in live else 0
         plans.append(SourcePlan(s, w, r, have.get(s, 0), wanted, whole, []))
-    budgets = {p.source: p.wanted - p.whole * p.available for p in plans if p.source in live and p.whole < p.max_repeat and p.wanted > p.whole * p.available}
+    budgets = {p.source: math.floor(p.wanted - p.whole * p.available + 1e-6) for p in plans if p.source in live and p.whole < p.max_repeat and p.wanted > p.whole * p.available}
     cut = cuts_for(items, budgets) if budgets else {}
     for p in plans:
         p.cuts = cut.get(p.source, [])
     return plans
 
 
-def mix(items: DataFrame, plans: list[SourcePlan]) -> DataFrame:
-    """(item_id, source, tokens, copies) of the documents taken: one filter, no sort."""
+def counted(items: DataFrame, plans: list[SourcePlan]) -> DataFrame:
+    """(item_id, source, tokens, h, whole, copies) of all documents of the target sources; copies of 0 are left out of the mix."""
     rules = [(p.source, p.whole, p.cuts) for p in plans]
     table = items.sparkSession.createDataFrame(rules, "source string, whole int, cuts array<struct<low:bigint,high:bigint,size:bigint>>")
     j = items.join(F.broadcast(table), "source")  # one row a target source
     more = F.exists("cuts", lambda c: (F.col("h") >= c["low"]) & (F.col("h") < c["high"]) & (F.col("tokens") <= c["size"]))
-    return j.select("item_id", "source", "tokens", (F.col("whole") + more.cast("int")).alias("copies")).filter(F.col("copies") > 0)
+    return j.select("item_id", "source", "tokens", "h", "whole", (F.col("whole") + more.cast("int")).alias("copies"))
+
+
+def mix(items: DataFrame, plans: list[SourcePlan]) -> DataFrame:
+    """(item_id, source, tokens, copies) of the documents taken: one filter, no sort."""
+    return counted(items, plans).select("item_id", "source", "tokens", "copies").filter(F.col("copies") > 0)
+
+
+def still_fitting(items: DataFrame, plans: list[SourcePlan], reached: dict[str, int]) -> set[str]:
+    """Sources of which a document, taken once more than all are, would still fit what the tokens reached leave of the wanted ones."""
+    rest = {p.source: math.floor(p.wanted - reached[p.source] + 1e-6) for p in plans}
+    return set(first_fitting(counted(items, plans).filter(F.col("copies") == F.col("whole")), rest))
 
 
 def shares(mixed: DataFrame, plans: list[SourcePlan]) -> DataFrame:

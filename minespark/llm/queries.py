@@ -148,20 +148,20 @@ def _targets(spark: SparkSession, sf_dir: str) -> dict[str, tuple[float, int]]:
     return {r["s"]: (r["share"], r["most"]) for r in got}
 
 
-def _mix(spark: SparkSession, sf_dir: str, sizes=document_tokens):
+def _mix(spark: SparkSession, sf_dir: str):
     targets = _targets(spark, sf_dir)
-    docs = sizes(spark, sf_dir).withColumn("source", name_key(F.col("source")))
+    docs = document_tokens(spark, sf_dir).withColumn("source", name_key(F.col("source")))
     items = materialize(mixing.of_sources(mixing.hashed(docs, "doc_id", "source", "tokens"), targets))
     return items, mixing.plan_mix(items, targets)
 
 
 def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What must hold of the mix, measured in bytes: each source's due share, that it is not exceeded and misses its size by less than the source's largest document, and that no document is repeated too often."""
-    items, plans = _mix(spark, sf_dir, document_bytes)
+    """What must hold of the mix, measured in tokens: each source's due share, that it is not exceeded, that it is reached as nearly as can be (no document left out fits what is missing), and that no document is repeated too often."""
+    items, plans = _mix(spark, sf_dir)
     got = {r["source"]: r for r in mixing.shares(mixing.mix(items, plans), plans).collect()}  # one row a target
-    largest = {r["source"]: r["most"] for r in items.groupBy("source").agg(F.max("tokens").alias("most")).collect()}  # one row a target
+    short = mixing.still_fitting(items, plans, {s: r["tokens"] for s, r in got.items()})
     due = sum(p.share for p in plans if p.available)
-    rows = [(p.source, round(p.share / due, 9), bool(got[p.source]["tokens"] <= p.wanted + 1e-6), bool(p.wanted - got[p.source]["tokens"] < max(1, largest[p.source])), bool(got[p.source]["max_copies"] <= p.max_repeat)) for p in plans if p.available]
+    rows = [(p.source, round(p.share / due, 9), bool(got[p.source]["tokens"] <= p.wanted + 1e-6), p.source not in short, bool(got[p.source]["max_copies"] <= p.max_repeat)) for p in plans if p.available]
     return spark.createDataFrame(rows, "source string, due_share double, not_over boolean, reached boolean, repeats_kept boolean")
 
 

@@ -90,3 +90,52 @@ def test_nulls_empty_and_repeated(spark):
     plans = mixing.plan_mix(none, {"a": (1.0, 2)})
     assert mixing.mix(none, plans).count() == 0 and mixing.shares(mixing.mix(none, plans), plans).first().reached_share == 0
     assert mixing.plan_mix(it, {}) == []
+
+
+def placed(spark, rows):
+    """Items of one source from (id, h, tokens)."""
+    return spark.createDataFrame([(i, "a", n, h) for i, h, n in rows], "item_id long, source string, tokens long, h long")
+
+
+def test_rounds_go_on_until_no_document_fits(spark):
+    it = placed(spark, [(0, 0, 500), (1, 1 << 50, 1000), (2, 1 << 51, 10), (3, 1 << 52, 10), (4, 1 << 53, 60), (5, 1 << 54, 60)])
+    plan = mixing.SourcePlan("a", 1.0, 1, 1640, 600, 0, mixing.cuts_for(it, {"a": 600})["a"])
+    assert {r.item_id for r in mixing.mix(it, [plan]).collect()} == {0, 2, 3, 4}  # 580: the documents of 10 are a quarter of what is left, one of 60 fits then
+
+
+@pytest.mark.parametrize("repeated", [1, 3, 11])
+def test_no_document_left_out_fits(spark, repeated):
+    rng = random.Random(3)
+    rows = [(i, rng.getrandbits(60), rng.choice([0, 3, 40, 170, 450, 3000, 40_000])) for i in range(120)]
+    rows += [r for r in rows for _ in range(r[0] % repeated)]
+    it = placed(spark, rows)
+    for budget in (2, 700, 2_999, 47_200):
+        cuts = mixing.cuts_for(it, {"a": budget})["a"]
+        out, used = {}, 0
+        for i, h, n in rows:
+            if any(low <= h < high and n <= size for low, high, size in cuts):
+                used += n
+            else:
+                out[i] = out.get(i, 0) + n  # an id's rows go together
+        assert used <= budget and not [n for n in out.values() if 0 < n <= budget - used]
+
+
+def test_thresholds_are_exact_if_levels_do_not_divide_the_hash(spark):
+    budgets = {"a": 10} | {f"s{i}": 1 for i in range(1000)}  # 8 bits a level
+    assert mixing.thresholds(placed(spark, [(0, 16, 10), (1, 17, 10)]), budgets)["a"] == (17, 0)
+
+
+def test_kept_is_measured_in_tokens_and_sees_documents_left_out(spark, tmp_path, monkeypatch):
+    from minespark.llm import queries, tokens
+
+    docs = [(0, "a", "internationalization " * 400)] + [(i, "a", "one two") for i in range(1, 30)] + [(i, "b", "three four five") for i in range(30, 34)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeat int").write.parquet(str(tmp_path / "mix_target.parquet"))
+    plans = []
+    made = mixing.plan_mix
+    monkeypatch.setattr(mixing, "plan_mix", lambda *a: plans.extend(made(*a)) or plans)
+    assert sorted(map(tuple, queries.p9_kept(spark, str(tmp_path)).collect())) == [("a", 0.5, True, True, True), ("b", 0.5, True, True, True)]
+    assert {p.source: p.available for p in plans} == {s: sum(tokens.count(tokens.encoding(), t) for _, x, t in docs if x == s) for s in "ab"}
+    plans.clear()
+    monkeypatch.setattr(mixing, "cuts_for", lambda items, budgets: {})  # nothing is taken of a, although short documents fit
+    assert {r.source: r.reached for r in queries.p9_kept(spark, str(tmp_path)).collect()} == {"a": False, "b": True}
