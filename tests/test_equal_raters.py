@@ -21,3 +21,19 @@ def test_equal_raters_leave_only_themselves_out(spark, how, monkeypatch):
         got = recommend.predict(r, recommend.all_cells(r), "user", how, 3, blocks=True)
         assert "CoGroup" not in plan(got) and "Join" not in plan(got)  # neither copies nor rows of neighbours
         same({(x.user, x.item): x.pred for x in got.collect()}, predicted({(u, i): x for u, i, x in rows}, False, how, 3), 1e-8)
+
+
+def test_equal_raters_by_name(spark, monkeypatch):
+    monkeypatch.setattr(recommend, "CELLS", 5)
+    r = spark.createDataFrame([(i, str(u), x) for u, i, x in ROWS], "user string, item string, rating double")
+    got = recommend.predict(r, recommend.all_cells(r), "item", "weighted-sum", 2, blocks=True)
+    assert "CoGroup" not in plan(got)
+    same({(x.user, x.item): x.pred for x in got.collect()}, predicted({(i, str(u)): x for u, i, x in ROWS}, True, "weighted-sum", 2), 1e-8)
+
+
+def test_pairs_of_raters_are_not_copied(spark, monkeypatch):
+    monkeypatch.setattr(recommend, "BLOCK", 4)
+    r = spark.createDataFrame(SPARSE, "user int, item string, rating double")
+    got = recommend.similarity_in_blocks(r)
+    assert "CoGroup" not in plan(got) and "Generate" not in plan(got)
+    same({(x.a, x.b): x.sim for x in got.collect()}, {(x.a, x.b): x.sim for x in recommend.similarity(r).collect()}, 1e-9)
