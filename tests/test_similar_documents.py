@@ -49,3 +49,14 @@ def test_bags_equal_term_frequencies(spark):
     idf = {r.term: np.log2(5 / r.df) for r in words.collect()}
     assert {(r.doc, t): w * r.scale * idf[t] for r in text.bag_norms(bag, words, 5).collect() for t, w in zip(r.ts, r.ws)} == pytest.approx(want)
     assert not text.bags(df.filter(F.col("id") == 3), "id", "t").count()
+
+
+def test_first_documents_and_the_rest(spark):
+    rows = [(d, f"t{d * i % 11}", 1.0 + (d * 7 + i) % 5) for d in range(700) for i in (1, 3)]
+    df = spark.createDataFrame(sorted({(d, t): w for d, t, w in rows}.items()), "k struct<doc:long,term:string>, w double").select("k.*", "w")
+    m = np.zeros((700, 11))
+    for (d, t), w in {(d, t): w for d, t, w in rows}.items():
+        m[d, int(t[1:])] = w
+    s = np.round(m @ m.T, 10)
+    got = {(r["query"], r.doc) for r in text.most_similar(df.filter("doc % 50 = 0"), df, 3, 14, 700).collect()}
+    assert got == {(q, d) for q in range(0, 700, 50) for d in sorted((d for d in range(700) if d != q and s[q, d] > 0), key=lambda d: (-s[q, d], d))[:3]}
